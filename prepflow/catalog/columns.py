@@ -66,19 +66,19 @@ def select_cast_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("formula", "SELECT p_partkey, p_name, p_brand, p_type, p_size, round(p_retailprice * 1.1, 4) AS p_retailprice FROM part")
 def formula_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formula(table(spark, sf_dir, "part"), "p_retailprice", "round([p_retailprice] * 1.1D, 4)")
+    return formula(table(spark, sf_dir, "part"), "p_retailprice", "round([p_retailprice] * 1.1, 4)")
 
 
 @query(
     "formula_arith",
     """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-           round(l_extendedprice * (1 - l_discount) / l_quantity + l_linenumber % 2, 4) AS unit
+           l_extendedprice * (1 - l_discount) / l_quantity + l_linenumber % 2 AS unit
     FROM lineitem
     """,
 )
 def formula_arith_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "round([l_extendedprice] * (1 - [l_discount]) / [l_quantity] + [l_linenumber] % 2, 4)"
+    text = "[l_extendedprice] * (1 - [l_discount]) / [l_quantity] + [l_linenumber] % 2"
     df = formula(table(spark, sf_dir, "lineitem"), "unit", text)
     return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "unit")
 
@@ -265,7 +265,7 @@ def cleanse_case_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
     SELECT conv_id, turn,
            list_aggregate(list_transform(regexp_extract_all(lower(text), '([\p{L}\p{N}]+|[^\p{L}\p{N}]+)'),
-                                         lambda x: upper(x[1]) || x[2:]), 'string_agg', '') AS text
+                                         lambda x: replace(replace(upper(x[1]), 'ß', 'SS'), 'ẞ', 'SS') || x[2:]), 'string_agg', '') AS text
     FROM conversations
     """,
 )

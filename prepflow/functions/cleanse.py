@@ -24,7 +24,8 @@ def trim_space(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """First letter of every run of letters and digits in upper case, the rest lower."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(WORD_OR_GAP), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    capital = F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 2**31 - 1)))
+    return F.array_join(capital, "")
 
 
 CASES = {"uppercase": F.upper, "lowercase": F.lower, "titlecase": title_case}

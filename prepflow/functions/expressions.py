@@ -18,7 +18,7 @@ TOKEN = re.compile(
     r"""(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')
       | (?P<column>\[[^\]]+\])
       | (?P<name>`(?:[^`]|``)*`)
-      | (?P<number>\d+(?:\.\d+)?)
+      | (?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?[A-Za-z]*)
       | (?P<word>[^\W\d]\w*)
       | (?P<space>\s+)
       | (?P<sign><=>|==|!=|>=|<=|<>|\|\||.)""",

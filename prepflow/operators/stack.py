@@ -22,20 +22,16 @@ def union_tables(tables: Sequence[DataFrame] | DataFrame, how: str = "diagonal")
     if not frames:
         raise ValueError("union: no tables")
     if how == "vertical":
-        first = [(f.name, f.dataType) for f in frames[0].schema.fields]
         for frame in frames[1:]:
-            if [(f.name, f.dataType) for f in frame.schema.fields] != first:
+            if frame.dtypes != frames[0].dtypes:
                 raise SchemaError("union: a vertical union needs equal names, order and types")
         return reduce(DataFrame.union, frames)
     if how != "diagonal":
         raise ValueError(f"union: unknown mode {how!r}")
-    known: dict = {}
-    for field in (f for frame in frames for f in frame.schema.fields):
-        if known.setdefault(field.name, field.dataType) != field.dataType:
-            raise SchemaError(
-                f"union: {field.name!r} is {known[field.name].simpleString()} in one table"
-                f" and {field.dataType.simpleString()} in another"
-            )
+    known: dict[str, str] = {}
+    for name, kind in (pair for frame in frames for pair in frame.dtypes):
+        if known.setdefault(name, kind) != kind:
+            raise SchemaError(f"union: {name!r} is {known[name]} in one table and {kind} in another")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -16,13 +16,33 @@ NULL_TOKENS = ("", "NA", "NaN", "null")
 CURRENCY = r"^\s*\(?\s*\$?\s*\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*\)?\s*$"
 PERCENTAGE = r"^\s*-?\d+(?:\.\d+)?\s*%\s*$"
 
-# Types tried in this order: a text pattern that must match, then a cast that must succeed.
-CANDIDATES = (
-    ("bigint", r"^[+-]?\d+$"),
-    ("double", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"),
-    ("boolean", r"^(?i:true|false)$"),
-    ("date", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("timestamp_ntz", r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$"),
+
+SIGNS = ("", "+", "-")
+
+# The marks left of a text when its digits are taken out.  Types are tried in this
+# order: first the marks, and only then a cast, since casts that fail are slow and
+# some succeed too easily (``10D`` as a number, ``2020-01`` as a date).
+MARKS = {
+    "bigint": set(SIGNS),
+    "double": {
+        sign + point + power
+        for sign in SIGNS
+        for point in (".", "")
+        for power in ("", *(e + s for e in "eE" for s in SIGNS))
+    },
+    "boolean": {"true", "false", "True", "False", "TRUE", "FALSE"},
+    "date": {"--"},
+    "timestamp_ntz": {"--" + gap + clock for gap in "T " for clock in (":", "::", "::.")},
+}
+CANDIDATES = tuple(MARKS)
+
+# Kinds of text that may be mixed in a column of one type.
+UNIONS = (
+    ({"bigint"}, "bigint"),
+    ({"bigint", "double"}, "double"),
+    ({"boolean"}, "boolean"),
+    ({"date"}, "date"),
+    ({"date", "timestamp_ntz"}, "timestamp_ntz"),
 )
 
 
@@ -40,8 +60,24 @@ def null_tokens(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def fits(text: Column, type_name: str, pattern: str) -> Column:
-    return text.rlike(pattern) & text.try_cast(type_name).isNotNull()
+def kind_flag(text: Column, marks: Column) -> Column:
+    """One bit for the narrowest type a text fits; null stays null."""
+    flag = F.when(text.isNull(), F.lit(None).cast("int"))
+    for bit, (kind, allowed) in enumerate(MARKS.items()):
+        fits = marks.isin(*sorted(allowed))
+        if kind in ("date", "timestamp_ntz"):
+            fits = fits & (F.substring(text, 5, 1) == "-") & (F.length(text) >= 8)
+        flag = flag.when(fits & text.try_cast(kind).isNotNull(), F.lit(1 << bit))
+    return flag.otherwise(F.lit(1 << len(MARKS)))
+
+
+def kind_of(flags: int | None) -> str | None:
+    """Type for the set of bits seen in a column; none for text and for empty columns."""
+    for kinds, target in UNIONS:
+        bits = sum(1 << i for i, kind in enumerate(CANDIDATES) if kind in kinds)
+        if flags and flags & ~bits == 0:
+            return target
+    return None
 
 
 def find_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, str]:
@@ -53,21 +89,18 @@ def find_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str,
     names = text_columns(df, columns)
     if not names:
         return {}
-    tests = []
-    for i, name in enumerate(names):
-        tests.append(F.count(col(name)).alias(f"n{i}"))
-        tests += [
-            F.bool_and(fits(col(name), kind, pattern)).alias(f"{kind}{i}")
-            for kind, pattern in CANDIDATES
-        ]
-    row = df.agg(*tests).first()
-    found = {}
-    for i, name in enumerate(names):
-        if row[f"n{i}"]:
-            kind = next((k for k, _ in CANDIDATES if row[f"{k}{i}"]), None)
-            if kind:
-                found[name] = kind
-    return found
+    # One row per cell, so that the tests are compiled once and not once per column.
+    cells = [
+        F.struct(F.lit(i).alias("i"), col(c).alias("t"), F.translate(col(c), "0123456789", "").alias("m"))
+        for i, c in enumerate(names)
+    ]
+    flags = (
+        df.select(F.inline(F.array(*cells)))
+        .groupBy("i")
+        .agg(F.bit_or(kind_flag(F.col("t"), F.col("m"))).alias("flags"))
+    )
+    kinds = {names[row["i"]]: kind_of(row["flags"]) for row in flags.collect()}
+    return {name: kind for name, kind in kinds.items() if kind}
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
