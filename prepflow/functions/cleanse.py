@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from prepflow.schema import NUMERIC_TYPES, col, data_type, name_list
 
-# What each step removes, in Java notation with Unicode classes.
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+# What each step removes; patterns in Java notation with Unicode classes.
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 PUNCTUATION = r"(?U)[^\w\s]"
 DIGITS = r"(?U)\d+"
 LETTERS = r"[a-zA-Z]+"
@@ -18,7 +18,7 @@ WORD_OR_GAP = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
 
 def trim_space(text: Column) -> Column:
     """Remove all kinds of white space at both ends."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def title_case(text: Column) -> Column:

@@ -69,8 +69,29 @@ def chosen_format(name: str, custom: str) -> str | None:
     return name if name in PRESETS else None
 
 
+def shape_of(pattern: str) -> str | None:
+    """Regular expression of the texts a pattern can read; none if it holds names."""
+    parts = []
+    for quoted, letters, other in re.findall(r"'([^']*)'|([A-Za-z]+)|([^A-Za-z'])", pattern):
+        if letters:
+            if letters[0] not in "yMdHhmsS" or letters.startswith("MMM"):
+                return None
+            size = len(letters)
+            parts.append(rf"\d{{1,{size}}}" if letters[0] == "S" else rf"\d{{{size}}}")
+        else:
+            parts.append({"[": "(?:", "]": ")?"}.get(other) or re.escape(quoted or other))
+    return "^" + "".join(parts) + "$"
+
+
 def parse_with(text: Column, pattern: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    """Timestamp of a text, or null.
+
+    Texts of another shape are set aside first, as a failing parse costs an
+    exception per row.
+    """
+    parsed = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    shape = shape_of(pattern)
+    return F.when(text.rlike(shape), parsed) if shape else parsed
 
 
 def first_form_for_all(df: DataFrame, text: Column) -> str | None:

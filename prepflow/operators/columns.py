@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from prepflow.functions.expressions import formula_sql, java_pattern
-from prepflow.schema import cast_target, col, require_columns, safe_cast
+from prepflow.schema import col, data_type, require_columns, safe_cast
 
 UNPLACED = 999_999
 
@@ -30,7 +30,7 @@ def select_columns(df: DataFrame, columns: Sequence[dict[str, Any]] = ()) -> Dat
             continue
         column = col(name)
         if entry.get("type"):
-            column = safe_cast(column, entry["type"])
+            column = safe_cast(column, data_type(df, name), entry["type"])
         out.append(column.alias(entry.get("rename") or name))
     return df.select(*out)
 
@@ -72,8 +72,7 @@ def regex_extract(
         text = F.when(matched, F.regexp_extract(source, pattern, group))
         if empty_is_null:
             text = F.nullif(text, F.lit(""))
-        target = cast_target(entry.get("type", "string"))
-        out[entry["name"]] = text if target == "string" else text.try_cast(target)
+        out[entry["name"]] = safe_cast(text, T.StringType(), entry.get("type"))
     return df.withColumns(out) if out else df
 
 

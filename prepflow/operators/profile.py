@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from prepflow.operators.ordering import sort_rows
 from prepflow.schema import SEMANTIC_KEY, col, require_batch, semantic_types
@@ -43,27 +44,61 @@ def preview(
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: type, semantic tag, non-null, null and distinct counts, min and max.
 
-    One aggregation over the table.  Exact distinct counts shuffle every distinct
-    value of every column; ``approx`` uses sketches and a single pass.
+    Exactly, each column is counted by value on its own: the scan reads that
+    column only, equal values combine before the shuffle, and all figures follow
+    from the counts.  ``approx`` estimates distinct values in a single pass over
+    all columns, without a shuffle of values.
     """
     require_batch(df, "column_profile")
-    tags = semantic_types(df)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+    if approx:
+        return sketched_profile(df)
+    parts = []
+    for field in df.schema.fields:
+        value = F.col("v")
+        counts = df.select(col(field.name).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        sortable = not isinstance(field.dataType, (T.MapType, T.VariantType))
+        parts.append(
+            counts.agg(
+                total(F.when(value.isNotNull(), F.col("n"))).alias("non_null"),
+                total(F.when(value.isNull(), F.col("n"))).alias("nulls"),
+                F.count(value).alias("distinct_values"),
+                extreme(F.min, value, sortable).alias("min_value"),
+                extreme(F.max, value, sortable).alias("max_value"),
+            ).select(*labels(df, field), "*")
+        )
+    return reduce(DataFrame.union, parts)
+
+
+def labels(df: DataFrame, field: T.StructField) -> list[Column]:
+    return [
+        F.lit(field.name).alias("column"),
+        F.lit(field.dataType.simpleString()).alias("type"),
+        F.lit(semantic_types(df).get(field.name)).cast("string").alias("semantic_type"),
+    ]
+
+
+def total(counts: Column) -> Column:
+    return F.coalesce(F.sum(counts), F.lit(0).cast("bigint"))
+
+
+def extreme(pick, value: Column, sortable: bool) -> Column:
+    return pick(value).cast("string") if sortable else F.lit(None).cast("string")
+
+
+def sketched_profile(df: DataFrame) -> DataFrame:
     aggregates, entries = [F.count(F.lit(1)).alias("__rows")], []
     for i, field in enumerate(df.schema.fields):
         this = col(field.name)
-        ordered = not isinstance(field.dataType, (T.MapType, T.VariantType))
+        sortable = not isinstance(field.dataType, (T.MapType, T.VariantType))
         aggregates += [
             F.count(this).alias(f"n{i}"),
-            (distinct(this) if ordered else F.lit(None).cast("bigint")).alias(f"d{i}"),
-            (F.min(this) if ordered else F.lit(None)).cast("string").alias(f"lo{i}"),
-            (F.max(this) if ordered else F.lit(None)).cast("string").alias(f"hi{i}"),
+            (F.approx_count_distinct(this) if sortable else F.lit(None).cast("bigint")).alias(f"d{i}"),
+            extreme(F.min, this, sortable).alias(f"lo{i}"),
+            extreme(F.max, this, sortable).alias(f"hi{i}"),
         ]
         entries.append(
             F.struct(
-                F.lit(field.name).alias("column"),
-                F.lit(field.dataType.simpleString()).alias("type"),
-                F.lit(tags.get(field.name)).cast("string").alias("semantic_type"),
+                *labels(df, field),
                 F.col(f"n{i}").alias("non_null"),
                 (F.col("__rows") - F.col(f"n{i}")).alias("nulls"),
                 F.col(f"d{i}").alias("distinct_values"),

@@ -11,7 +11,7 @@ from prepflow.operators.ordering import POSITION, SLICE, sorted_slices
 from prepflow.schema import col, cols
 
 # Groups up to this many rows may be gathered by one aggregation buffer.
-GROUP_LIMIT = 1_000_000
+GROUP_LIMIT = 500_000
 
 EVERYTHING = "__all"
 
@@ -22,9 +22,29 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
+def gathered_quantiles(value: Column, probabilities: Sequence[float]) -> Column:
+    """Interpolated quantiles, as an array, of a group that is known to be small.
+
+    Sorting a plain list of the values is several times faster than Spark's
+    percentile, which keeps a hash map of counts.
+    """
+    values = F.sort_array(F.collect_list(value.cast("double")))
+
+    def quantile(sorted_values: Column, probability: float) -> Column:
+        place = (F.size(sorted_values) - 1) * F.lit(float(probability))
+        low, high = F.floor(place), F.ceil(place)
+        below = F.get(sorted_values, low.cast("int"))
+        above = F.get(sorted_values, high.cast("int"))
+        between = (high - place) * below + (place - low) * above
+        return F.when(low == high, below).otherwise(between)
+
+    # The one-element array binds the sorted list to a name, so it is sorted once.
+    bound = F.transform(F.array(values), lambda a: F.array(*(quantile(a, p) for p in probabilities)))
+    return F.get(bound, F.lit(0))
+
+
 def exact_quantile(value: Column, probability: float) -> Column:
-    """Interpolated quantile as one aggregation; for groups known to be small."""
-    return F.percentile(value, F.lit(probability))
+    return F.get(gathered_quantiles(value, [probability]), F.lit(0))
 
 
 def selected_quantiles(
@@ -95,6 +115,6 @@ def grouped_quantiles(
     if largest_group(df, keys) > group_limit:
         return selected_quantiles(df, keys, value, wanted)
     present = df.filter(col(value).isNotNull())
-    return present.groupBy(*cols(keys)).agg(
-        *(exact_quantile(col(value), p).alias(name) for name, p in wanted.items())
-    )
+    points = gathered_quantiles(col(value), list(wanted.values()))
+    found = present.groupBy(*cols(keys)).agg(points.alias("__q"))
+    return found.select(*cols(keys), *(F.col("__q")[i].alias(n) for i, n in enumerate(wanted)))

@@ -21,6 +21,13 @@ CAST_TYPES = {
     "bool": "boolean",
 }
 
+# Texts Spark casts to boolean, and what numbers look like.
+BOOLEAN_WORDS = ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0")
+NUMBER_SHAPES = {
+    "bigint": r"^[+-]?\d+$",
+    "double": r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:nan|inf|infinity))$",
+}
+
 INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
 NUMERIC_TYPES = INTEGER_TYPES + FLOAT_TYPES + (T.DecimalType,)
@@ -40,9 +47,19 @@ def cast_target(name: str | None) -> str:
     return CAST_TYPES.get((name or "").lower(), "string")
 
 
-def safe_cast(column: Column, type_name: str | None) -> Column:
-    """Cast that gives null instead of failing."""
-    return column.try_cast(cast_target(type_name))
+def safe_cast(column: Column, kind: T.DataType, type_name: str | None) -> Column:
+    """Cast from ``kind`` to a user-visible type that gives null instead of failing."""
+    target = cast_target(type_name)
+    if not isinstance(kind, T.StringType) or target == "string":
+        return column.try_cast(target)
+    return F.when(castable(column, target), column.try_cast(target))
+
+
+def castable(text: Column, target: str) -> Column:
+    """Cheap test before casting text: a cast that fails costs an exception per row."""
+    if target == "boolean":
+        return F.lower(F.trim(text)).isin(*BOOLEAN_WORDS)
+    return text.rlike(NUMBER_SHAPES[target])
 
 
 def data_type(df: DataFrame, column: str) -> T.DataType:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from prepflow.functions.cleanse import trim_space
 from prepflow.operators.batches import describe_with
 from prepflow.operators.ordering import OrderBy, order_columns, required_order
 from prepflow.schema import col, cols, require_columns
@@ -24,7 +25,7 @@ def text_lines(
     require_columns(df, [column, *keep], "text_lines")
     lines = F.split(col(column), LINE_BREAK)
     rows = df.select(*cols(keep), F.posexplode(lines).alias("__no", "__line"))
-    text = F.regexp_replace("__line", r"(?U)^\s+|\s+$", "")
+    text = trim_space(F.col("__line"))
     number = [(F.col("__no") + 1).alias(line_number)] if line_number else []
     return rows.select(*cols(keep), *number, text.alias(TEXT_LINE)).filter(F.col(TEXT_LINE) != "")
 
