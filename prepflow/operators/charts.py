@@ -63,7 +63,7 @@ def bins(df: DataFrame, x: str, count: int) -> tuple[Column, Column, Column]:
     highest = df.agg(F.max(col(x)).cast("double")).scalar()
     width = (highest - lowest) / F.lit(float(count))
     place = F.floor(F.try_divide(col(x).cast("double") - lowest, width))
-    number = F.coalesce(F.least(place, F.lit(count - 1).cast("bigint")), F.lit(0).cast("bigint"))
+    number = F.least(F.coalesce(place, F.lit(0)).cast("bigint"), F.lit(count - 1).cast("bigint"))
     return number, lowest, width
 
 
