@@ -18,14 +18,19 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from prepflow.schema import col, cols, name_list, require_batch, require_columns
+from prepflow.schema import col, cols, input_bytes, name_list, require_batch, require_columns
 from prepflow.session import scratch_path
 
 OrderBy = Sequence[str | tuple[str, str]]
 
 # Up to this many rows a top-n is merged from per-task candidates in one task;
 # beyond it rows are numbered in slices and filtered.
-TOP_N_LIMIT = 100_000
+TOP_N_LIMIT = 10_000
+
+# Sorted slices of about this many bytes of input; more slices than the session's
+# shuffle partitions are made when the input is large enough to call for them.
+SLICE_BYTES = 256 << 20
+MAX_SLICES = 100_000
 
 # Identical rows are counted and numbered in runs of this length; the runs of a
 # much-repeated row are spread over tasks before they are unfolded.
@@ -130,6 +135,15 @@ def numbered_copies(df: DataFrame) -> DataFrame:
     return few.unionByName(many)
 
 
+def range_sorted(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Global sort with enough range partitions for the size of the table."""
+    size = input_bytes(df)
+    needed = min(MAX_SLICES, -(-size // SLICE_BYTES)) if size else 0
+    if needed <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.orderBy(*order)
+    return df.repartitionByRange(needed, *order).sortWithinPartitions(*order)
+
+
 def sorted_slices(df: DataFrame, order_by: OrderBy, unique_order: bool = False) -> DataFrame:
     """Write ``df`` in sorted slices; read it back with slice number and position.
 
@@ -141,9 +155,9 @@ def sorted_slices(df: DataFrame, order_by: OrderBy, unique_order: bool = False)
     spark = df.sparkSession
     order = order_columns(order_by)
     if unique_order:
-        ordered = df.orderBy(*order)
+        ordered = range_sorted(df, order)
     else:
-        ordered = numbered_copies(df).orderBy(*order, TIE, COPY).select(*cols(df.columns))
+        ordered = range_sorted(numbered_copies(df), [*order, col(TIE), col(COPY)]).select(*cols(df.columns))
     path = scratch_path(spark, "slices")
     ordered.write.option("maxRecordsPerFile", 0).parquet(path)
     file_name = F.col("_metadata.file_name")  # part-<slice>-<job>-c000...
@@ -243,12 +257,7 @@ def sample_rows(
     if sample_type == "random":
         if n <= TOP_N_LIMIT:
             return df.orderBy(F.rand(seed)).limit(n)
-        # A shuffle on rand() could change when a lost task is repeated, so large
-        # samples are drawn by a hash that depends on the row and its copy only.
-        draw = F.xxhash64(F.lit(random.getrandbits(62) if seed is None else seed), TIE, COPY)
-        drawn = numbered_copies(df).withColumn("__draw", draw)
-        numbered = number_rows(drawn, ["__draw", TIE, COPY], "__row", unique_order=True)
-        return numbered.filter(F.col("__row") < n).select(*cols(df.columns))
+        return large_random_sample(df, n, random.getrandbits(62) if seed is None else seed)
     if sample_type not in ("first", "last"):
         return df
     order = required_order(df, order_by, "sample")
@@ -266,6 +275,25 @@ def sample_rows(
     return numbered.filter(wanted).drop("__row")
 
 
+def large_random_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """Random rows by the lowest values of a hash of row, copy number and seed.
+
+    A shuffle on ``rand()`` could change when a lost task is repeated; the hash
+    cannot.  Only about n rows, those below a cut that follows from the row
+    count, are sorted; should the cut turn out too low, all rows are.
+    """
+    drawn = numbered_copies(df).withColumn("__draw", F.xxhash64(F.lit(seed), TIE, COPY))
+    share = (n + 8 * n**0.5 + 100) / max(df.count(), 1)
+    below = drawn
+    if share < 1:
+        below = drawn.filter(F.col("__draw") < int((2 * share - 1) * 2**63))
+    for candidates in (below, drawn):
+        numbered = number_rows(candidates, ["__draw", TIE, COPY], "__row", unique_order=True)
+        if candidates is drawn or numbered.count() >= n:
+            break
+    return numbered.filter(F.col("__row") < n).select(*cols(df.columns))
+
+
 def top_k(df: DataFrame, rules: Sequence[dict[str, str]], n_records: int) -> DataFrame:
     """Sort, then first n: one top-n step."""
     return sample_rows(df, "first", n_records, order_by=sort_rules(rules))

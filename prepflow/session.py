@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", app: str = "prepflow", **conf: str) ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
