@@ -137,14 +137,15 @@ def outer_join(
 ) -> DataFrame:
     """Left, right or full join that never leaves a large side's hot key in one task."""
     equal = all_equal(pairs)
+    if l_side.isStreaming or r_side.isStreaming:
+        return l_side.join(r_side, equal, kind)
     small_left, small_right = is_small(l_side), is_small(r_side)
-    streaming = l_side.isStreaming or r_side.isStreaming
     whole = {
         "left": small_right,
         "right": small_left,
         "full": small_left and small_right,
     }
-    if streaming or whole[kind]:
+    if whole[kind]:
         return l_side.join(r_side, equal, kind)
     l_keys, r_keys = [a for a, _ in pairs], [b for _, b in pairs]
     keep_left, keep_right = kind in ("left", "full"), kind in ("right", "full")
