@@ -28,6 +28,14 @@ def select_columns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("select_nothing", "SELECT count(*) AS n FROM orders")
+def select_nothing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No column is kept; the rows still count."""
+    orders = table(spark, sf_dir, "orders")
+    none = select_columns(orders, [{"name": c, "keep": False} for c in orders.columns])
+    return none.agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("select_rename", "SELECT c_custkey AS id, c_name AS \"Customer Name\", c_acctbal FROM customer")
 def select_rename_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_columns(

@@ -184,6 +184,16 @@ def points_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("semantic_axis_format", "SELECT c_mktsegment, round(sum(c_nationkey / 100.0), 2) AS total, '.0%' AS axis FROM customer GROUP BY c_mktsegment")
+def axis_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = F.concat(F.col("c_nationkey").cast("string"), F.lit("%")).alias("share")
+    typed = semantic_profile_cast(table(spark, sf_dir, "customer").select("c_mktsegment", share))
+    bars = charts.bar_totals(typed, "c_mktsegment", "share")
+    bars = charts.with_axis_formats(bars, typed, {"total": "share"})
+    axis = bars.schema["total"].metadata.get("format", "")
+    return bars.select("c_mktsegment", F.round("total", 2).alias("total"), F.lit(axis).alias("axis"))
+
+
 @query("python_transform", "SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey")
 def python_transform_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     def per_order(df: DataFrame) -> DataFrame:

@@ -65,10 +65,10 @@ def read_parquet_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/customer.parquet")
 
 
-@query("read_jsonl", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("read_jsonl", "SELECT * FROM events")
 def read_jsonl_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "json")
-    events = table(spark, sf_dir, "events").drop("ts")
+    events = table(spark, sf_dir, "events")
     write_table(events, path, "jsonl")
     return read_jsonl(spark, path, events.schema)
 
@@ -163,11 +163,11 @@ def round_trip(spark: SparkSession, df: DataFrame, output_format: str) -> str:
     return path
 
 
-@query("write_csv", ORDERS_WIDE)
+@query("write_csv", "SELECT * FROM events")
 def write_csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    path = round_trip(spark, orders, "csv")
-    return read_csv(spark, path, schema=orders.schema, source_file=False)
+    events = table(spark, sf_dir, "events")
+    path = round_trip(spark, events, "csv")
+    return read_csv(spark, path, schema=events.schema, source_file=False)
 
 
 @query("write_parquet", ORDERS_WIDE)

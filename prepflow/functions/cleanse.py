@@ -10,7 +10,7 @@ from prepflow.schema import NUMERIC_TYPES, col, data_type, name_list
 
 # What each step removes; patterns in Java notation with Unicode classes.
 WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-PUNCTUATION = r"(?U)[^\w\s]"
+PUNCTUATION = r"(?U)[^a-zA-Z0-9_ \w\s]"  # common characters first, they are told apart fastest
 DIGITS = r"(?U)\d+"
 LETTERS = r"[a-zA-Z]+"
 WORD_OR_GAP = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"

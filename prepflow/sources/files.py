@@ -102,9 +102,16 @@ def csv_text(
     header: bool = True,
     encoding: str = "utf-8",
     schema: T.StructType | str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     reader = spark.read.options(
-        sep=delimiter, header=header, encoding=encoding, inferSchema=False, multiLine=False
+        sep=delimiter,
+        header=header,
+        encoding=encoding,
+        inferSchema=False,
+        multiLine=multi_line,
+        quote='"',
+        escape='"',
     )
     if schema is not None:
         reader = reader.schema(schema)
@@ -122,6 +129,7 @@ def read_csv(
     profile: bool = True,
     source_file: bool = True,
     same_columns: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read delimited text.
 
@@ -132,17 +140,20 @@ def read_csv(
 
     A wildcard may match files with different columns: files are grouped by their
     header line and stacked by name.  ``same_columns`` states that all files
-    share one header and skips looking at each.
+    share one header and skips looking at each.  Quoted line breaks need
+    ``multi_line``, at the price of reading each file in one task.
     """
     if schema is not None:
-        df = csv_text(spark, path, delimiter, header, encoding, schema)
-        return with_source_file(df) if source_file else df
+        df = csv_text(spark, path, delimiter, header, encoding, schema, multi_line)
+        return null_tokens(with_source_file(df) if source_file else df)
     paths = matching_files(spark, path)
     if header and not same_columns and len(paths) > 1:
         groups = files_by_header(spark, paths, delimiter, encoding)
     else:
         groups = [paths]
-    tables = [csv_text(spark, group, delimiter, header, encoding) for group in groups]
+    tables = [
+        csv_text(spark, group, delimiter, header, encoding, multi_line=multi_line) for group in groups
+    ]
     if source_file:
         tables = [with_source_file(t) for t in tables]
     df = null_tokens(union_tables(tables))

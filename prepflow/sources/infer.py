@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from prepflow.functions.datetimes import shape_of
 from prepflow.operators.ordering import OrderBy, sample_rows
 from prepflow.schema import SEMANTIC_KEY, col, require_batch
 
@@ -33,6 +34,9 @@ MARKS = {
     "boolean": {"true", "false", "True", "False", "TRUE", "FALSE"},
     "date": {"--"},
     "timestamp_ntz": {"--" + gap + clock for gap in "T " for clock in (":", "::", "::.")},
+    "date dd-MM-yyyy": {"--"},
+    "date yyyy/MM/dd": {"//"},
+    "date dd/MM/yyyy": {"//"},
 }
 CANDIDATES = tuple(MARKS)
 
@@ -43,6 +47,9 @@ UNIONS = (
     ({"boolean"}, "boolean"),
     ({"date"}, "date"),
     ({"date", "timestamp_ntz"}, "timestamp_ntz"),
+    ({"date dd-MM-yyyy"}, "date dd-MM-yyyy"),
+    ({"date yyyy/MM/dd"}, "date yyyy/MM/dd"),
+    ({"date dd/MM/yyyy"}, "date dd/MM/yyyy"),
 )
 
 
@@ -60,6 +67,12 @@ def null_tokens(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def read_as(text: Column, kind: str) -> Column:
+    """Value of a text of a kind: a type to cast to, or ``date`` and its pattern."""
+    _, _, pattern = kind.partition(" ")
+    return F.try_to_date(text, pattern) if pattern else text.try_cast(kind)
+
+
 def kind_flag(text: Column, marks: Column) -> Column:
     """One bit for the narrowest type a text fits; null stays null."""
     flag = F.when(text.isNull(), F.lit(None).cast("int"))
@@ -67,7 +80,9 @@ def kind_flag(text: Column, marks: Column) -> Column:
         fits = marks.isin(*sorted(allowed))
         if kind in ("date", "timestamp_ntz"):
             fits = fits & (F.substring(text, 5, 1) == "-") & (F.length(text) >= 8)
-        flag = flag.when(fits & text.try_cast(kind).isNotNull(), F.lit(1 << bit))
+        elif kind.startswith("date "):
+            fits = fits & text.rlike(shape_of(kind.removeprefix("date ")))
+        flag = flag.when(fits & read_as(text, kind).isNotNull(), F.lit(1 << bit))
     return flag.otherwise(F.lit(1 << len(MARKS)))
 
 
@@ -106,7 +121,7 @@ def find_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str,
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Cast text columns to the types their values fit."""
     found = find_types(df, columns)
-    return df.withColumns({c: col(c).try_cast(k) for c, k in found.items()}) if found else df
+    return df.withColumns({c: read_as(col(c), k) for c, k in found.items()}) if found else df
 
 
 def as_currency(text: Column) -> Column:

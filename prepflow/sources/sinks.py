@@ -11,6 +11,16 @@ from prepflow.sources.files import remote_uri
 WRITERS = {"csv": "csv", "parquet": "parquet", "jsonl": "json", "json": "json", "avro": "avro"}
 
 
+# Texts keep their spaces and moments their microseconds; quotes are doubled.
+FAITHFUL = {
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def write_table(
     df: DataFrame,
     path: str,
@@ -27,9 +37,11 @@ def write_table(
         return df
     if output_format not in WRITERS:
         raise ValueError(f"unsupported format {output_format!r}; use one of {sorted(WRITERS)}")
-    writer = df.write.format(WRITERS[output_format]).mode(mode).options(**options)
+    if WRITERS[output_format] in ("csv", "json"):
+        options = FAITHFUL | options
     if output_format == "csv":
-        writer = writer.option("header", True)
+        options = {"header": True} | options
+    writer = df.write.format(WRITERS[output_format]).mode(mode).options(**options)
     try:
         writer.save(path)
     except AnalysisException as bad:

@@ -1,5 +1,6 @@
 import struct
 import zlib
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,39 @@ def test_infer_types(spark):
     assert find_types(zoned) == {}
 
 
+def test_other_date_forms(spark):
+    df = spark.createDataFrame(
+        [("05/03/2024", "2024/03/05", "05-03-2024", "05/03/2024"), ("25/12/2024", "2024/12/25", "25-12-2024", "2024/12/25")],
+        "dmy string, ymd string, dashed string, mixed string",
+    )
+    out = infer_types(df)
+    assert [t for _, t in out.dtypes] == ["date", "date", "date", "string"]
+    assert [str(v) for v in rows(out, "dmy")[1][:3]] == ["2024-12-25"] * 3
+
+
+def test_quotes_spaces_breaks_and_microseconds(spark, write_csv, tmp_path):
+    path = write_csv("q.csv", 'a,b\n"say ""hi"", now",1\n" x ",2\n')
+    assert rows(read_csv(spark, path, source_file=False), "b") == [('say "hi", now', 1), (" x ", 2)]
+    broken = write_csv("m.csv", 'a,b\n"one\ntwo",1\n')
+    assert rows(read_csv(spark, broken, source_file=False, multi_line=True)) == [("one\ntwo", 1)]
+    df = spark.createDataFrame(
+        [(1, ' a "b", \\ c ', datetime(2024, 1, 2, 3, 4, 5, 678901)), (2, "", None), (3, None, None)],
+        "i int, s string, t timestamp_ntz",
+    )
+    for kind in ("csv", "jsonl"):
+        where = str(tmp_path / kind)
+        write_table(df, where, kind)
+        read = read_jsonl if kind == "jsonl" else read_csv
+        options = {} if kind == "jsonl" else {"source_file": False}
+        want = rows(df, "i")
+        if kind == "csv":
+            want[1] = (2, None, None)  # empty text is a null token
+        assert rows(read(spark, where, schema=df.schema, **options), "i") == want
+    tokens = write_csv("t.csv", "a,b\nNA,NA\n1,x\n")
+    typed = read_csv(spark, tokens, schema="a bigint, b string", source_file=False)
+    assert rows(typed, "a") == [(None, None), (1, "x")]
+
+
 def test_semantic_profile(spark):
     df = spark.createDataFrame(
         [("$1,234.50", "7.5%", "150", "1500", " ", "-5", None),
