@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prepflow.operators.joins import null_safe_join
-from prepflow.operators.ordering import OrderBy, order_names, required_order, row_hash
+from prepflow.operators.ordering import OrderBy, is_descending, required_order, value_place
 from prepflow.operators.quantiles import (
     EVERYTHING,
     GROUP_LIMIT,
@@ -93,7 +93,7 @@ def summarize(
     order: list = []
     if used & ORDERED:
         order = required_order(df, order_by, "summarize")
-    place = F.struct(*order_values(order), row_hash(df).alias("__tie")) if order else None
+        ascending_only(order)
     gathering = [o for o in outputs if o[1] in GATHERING and not (approx and o[1] == "median")]
     apart = gathering if gathering and largest_group(df, keys) > group_limit else []
 
@@ -105,6 +105,7 @@ def summarize(
             return SIMPLE[action](this)
         if action == "median":
             return exact_quantile(this, 0.5)
+        place = value_place(df, order, column)
         if action == "first":
             return F.min_by(this, place)
         if action == "last":
@@ -126,17 +127,16 @@ def summarize(
             part = selected_quantiles(source, group, column, {name: 0.5})
             part = null_safe_join_left(base.select(*cols(group)), part, group)
         else:
-            part = sliced_concat(source, group, column, place, order_names(order), name)
+            part = sliced_concat(source, group, column, value_place(df, order, column), name)
         frames.append(part)
     wide = null_safe_join(frames, group)
     return wide.select(*cols(keys), *cols(n for _, _, n in outputs))
 
 
-def order_values(order: list) -> list[Column]:
-    """Order columns as struct fields; only one direction can be expressed there."""
-    if any(not isinstance(o, str) and o[1].lower() == "desc" for o in order):
+def ascending_only(order: list) -> None:
+    """Order columns become fields of a struct, which sorts one way only."""
+    if any(is_descending(o) for o in order):
         raise ValueError("summarize: first, last and concat take ascending order columns")
-    return cols(order_names(order))
 
 
 def null_safe_join_left(base: DataFrame, part: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,7 +156,7 @@ def joined_text(item: Column) -> Column:
 
 
 def sliced_concat(
-    df: DataFrame, keys: list[str], column: str, place: Column, order: list[str], name: str
+    df: DataFrame, keys: list[str], column: str, place: Column, name: str
 ) -> DataFrame:
     """Ordered text of large groups: joined per sorted slice, then slice by slice.
 

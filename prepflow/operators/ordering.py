@@ -78,6 +78,15 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*parts)
 
 
+def value_place(df: DataFrame, order_by: OrderBy, column: str) -> Column:
+    """Sort key of a single value: the order columns, ties broken by the value itself.
+
+    No other column of the table has to be read for it.
+    """
+    tie = row_hash(df.select(col(column)))
+    return F.struct(*cols(order_names(order_by)), tie.alias(TIE))
+
+
 def has_map(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
         return any(has_map(f.dataType) for f in kind.fields)

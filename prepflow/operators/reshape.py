@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from prepflow.operators.ordering import OrderBy, order_names, required_order, row_hash
+from prepflow.operators.ordering import OrderBy, required_order, value_place
 from prepflow.schema import (
     FLOAT_TYPES,
     INTEGER_TYPES,
@@ -56,7 +56,7 @@ def pivot_wide(
 
     if aggregate_function in ("first", "last"):
         order = required_order(df, order_by, "pivot")
-        place = F.struct(*cols(order_names(order)), row_hash(df).alias("__tie"))
+        place = value_place(df, order, values)
         pick = F.min_by if aggregate_function == "first" else F.max_by
         cell = pick(col(values), place)
     elif aggregate_function in CELLS:

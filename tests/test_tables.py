@@ -145,6 +145,18 @@ def test_summarize(nulls, group_limit):
     assert got[None] == (9, 1, 1, 4.0, 9.0, None, "z", "z", "z")
 
 
+def test_ordered_aggregates_read_only_their_columns(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    actions = [{"column": "l_returnflag", "action": "group_by"}, {"column": "l_tax", "action": "first"}]
+    made = (
+        summarize(lines, actions, order_by=["l_orderkey"]),
+        pivot_wide(lines, ["l_returnflag"], "l_linestatus", "l_tax", "last", order_by=["l_orderkey"]),
+    )
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "l_extendedprice" not in plan and "l_shipdate" not in plan
+
+
 def test_summarize_forms(nulls):
     assert rows(summarize(nulls, group_by="g", agg_column="x"), "g")[1] == ("a", 17)
     assert summarize(nulls, group_by="g", agg_column="x").columns == ["g", "Aggregated"]
