@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prepflow.operators.joins import null_safe_join
-from prepflow.operators.ordering import OrderBy, is_descending, required_order, value_place
+from prepflow.operators.ordering import OrderBy, Place, place_of, required_order
 from prepflow.operators.quantiles import (
     EVERYTHING,
     GROUP_LIMIT,
@@ -93,7 +93,6 @@ def summarize(
     order: list = []
     if used & ORDERED:
         order = required_order(df, order_by, "summarize")
-        ascending_only(order)
     gathering = [o for o in outputs if o[1] in GATHERING and not (approx and o[1] == "median")]
     apart = gathering if gathering and largest_group(df, keys) > group_limit else []
 
@@ -105,12 +104,10 @@ def summarize(
             return SIMPLE[action](this)
         if action == "median":
             return exact_quantile(this, 0.5)
-        place = value_place(df, order, column)
-        if action == "first":
-            return F.min_by(this, place)
-        if action == "last":
-            return F.max_by(this, place)
-        return joined_text(F.struct(place.alias("o"), this.cast("string").alias("v")))
+        place = place_of(df, order, [column])
+        if action in ("first", "last"):
+            return place.pick(this, action == "first")
+        return joined_text(place.key, this.cast("string"), place.down)
 
     together = [o for o in outputs if o not in apart]
     if not apart:
@@ -127,18 +124,12 @@ def summarize(
             part = selected_quantiles(source, group, column, {name: 0.5})
             part = null_safe_join_left(base.select(*cols(group)), part, group)
         else:
-            part = sliced_concat(source, group, column, value_place(df, order, column), name)
+            part = sliced_concat(source, group, column, place_of(df, order, [column]), name)
         frames.append(part)
     wide = null_safe_join(frames, group)
     return wide.select(*cols(keys), *cols(n for _, _, n in outputs))
 
 
-def ascending_only(order: list) -> None:
-    """Order columns become fields of a struct, which sorts one way only."""
-    if any(is_descending(o) for o in order):
-        raise ValueError("summarize: first, last and concat take ascending order columns")
-
-
 def null_safe_join_left(base: DataFrame, part: DataFrame, keys: list[str]) -> DataFrame:
     """Keep the groups of ``base`` that ``part`` (values only) does not have."""
     marks = {k: f"__m{i}" for i, k in enumerate(keys)}
@@ -149,29 +140,27 @@ def null_safe_join_left(base: DataFrame, part: DataFrame, keys: list[str]) -> Da
     return base.join(renamed, same, "left").drop(*marks.values())
 
 
-def joined_text(item: Column) -> Column:
-    """Aggregate of ``{o, v}`` items to the values joined in the order of ``o``."""
-    ordered = F.array_sort(F.collect_list(item))
-    return F.array_join(F.transform(ordered, lambda x: x["v"]), CONCAT_SEPARATOR)
+def joined_text(place: Column, text: Column, down: bool = False) -> Column:
+    """Aggregate: texts joined in the order of ``place``, nulls left out."""
+    items = F.array_sort(F.collect_list(F.struct(place.alias("o"), text.alias("v"))))
+    texts = F.transform(items, lambda x: x["v"])
+    return F.array_join(F.reverse(texts) if down else texts, CONCAT_SEPARATOR)
 
 
-def sliced_concat(
-    df: DataFrame, keys: list[str], column: str, place: Column, name: str
-) -> DataFrame:
+def sliced_concat(df: DataFrame, keys: list[str], column: str, place: Place, name: str) -> DataFrame:
     """Ordered text of large groups: joined per sorted slice, then slice by slice.
 
     The slices follow the range shuffle, so each holds a run of one group; the
     last step only gathers the finished pieces, one per group and slice.
     """
     ready = df.select(
-        *cols(keys), place.alias("__o"), col(column).cast("string").alias("__v")
+        *cols(keys), place.key.alias("__o"), col(column).cast("string").alias("__v")
     )
     sliced = ready.repartitionByRange(*cols(keys), F.col("__o")).withColumn(
         "__part", F.spark_partition_id()
     )
-    item = F.struct(F.col("__o").alias("o"), F.col("__v").alias("v"))
     pieces = sliced.groupBy(*cols(keys), "__part").agg(
-        F.when(F.count("__v") > 0, joined_text(item)).alias("__text")
+        F.when(F.count("__v") > 0, joined_text(F.col("__o"), F.col("__v"), place.down)).alias("__text")
     )
-    whole = F.struct(F.col("__part").alias("o"), F.col("__text").alias("v"))
-    return pieces.groupBy(*cols(keys)).agg(joined_text(whole).alias(name))
+    whole = joined_text(F.col("__part"), F.col("__text"), place.down)
+    return pieces.groupBy(*cols(keys)).agg(whole.alias(name))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -78,13 +78,37 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*parts)
 
 
-def value_place(df: DataFrame, order_by: OrderBy, column: str) -> Column:
-    """Sort key of a single value: the order columns, ties broken by the value itself.
+class Place(NamedTuple):
+    """Sort key of one row as a single value; ``down`` says that high values come first."""
 
-    No other column of the table has to be read for it.
+    key: Column
+    down: bool
+
+    def pick(self, what: Column, first: bool) -> Column:
+        """Aggregate: ``what`` of the first or last row, combining before the shuffle."""
+        return F.min_by(what, self.key) if first != self.down else F.max_by(what, self.key)
+
+
+def one_way(order_by: OrderBy) -> bool:
+    """Do all order columns have the same direction?"""
+    return len({is_descending(o) for o in order_by}) <= 1
+
+
+def place_of(df: DataFrame, order_by: OrderBy, tie_columns: Sequence[str]) -> Place:
+    """Place of a row by the order columns, ties broken by a hash of ``tie_columns``.
+
+    A struct sorts one way only, so all order columns must have one direction.
+    Nulls come first either way.
     """
-    tie = row_hash(df.select(col(column)))
-    return F.struct(*cols(order_names(order_by)), tie.alias(TIE))
+    if not one_way(order_by):
+        raise ValueError("all order columns must have the same direction here")
+    down = any(is_descending(o) for o in order_by)
+    fields = []
+    for i, name in enumerate(order_names(order_by)):
+        fields += [col(name).isNull().alias(f"n{i}")] if down else []
+        fields.append(col(name).alias(f"o{i}"))
+    tie = row_hash(df.select(*cols(tie_columns)))
+    return Place(F.struct(*fields, tie.alias(TIE)), down)
 
 
 def has_map(kind: T.DataType) -> bool:

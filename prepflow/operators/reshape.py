@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from prepflow.operators.ordering import OrderBy, required_order, value_place
+from prepflow.operators.ordering import OrderBy, place_of, required_order
 from prepflow.schema import (
     FLOAT_TYPES,
     INTEGER_TYPES,
@@ -56,9 +56,8 @@ def pivot_wide(
 
     if aggregate_function in ("first", "last"):
         order = required_order(df, order_by, "pivot")
-        place = value_place(df, order, values)
-        pick = F.min_by if aggregate_function == "first" else F.max_by
-        cell = pick(col(values), place)
+        place = place_of(df, order, [values])
+        cell = place.pick(col(values), aggregate_function == "first")
     elif aggregate_function in CELLS:
         cell = CELLS[aggregate_function](col(values))
     else:

@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from prepflow.operators.ordering import OrderBy, is_descending, order_names, required_order, row_hash
+from prepflow.operators.ordering import (
+    OrderBy,
+    one_way,
+    order_columns,
+    place_of,
+    required_order,
+    row_hash,
+)
 from prepflow.schema import SchemaError, cols, col, name_list, require_batch, require_columns
 
 
@@ -44,9 +51,8 @@ def unique_rows(
     """One row per key set (all columns when none are named).
 
     ``keep`` is ``first`` or ``last`` in ``order_by``, ``any``, or ``none`` to
-    drop every key set that occurs more than once.  All forms are aggregations
-    that combine before the shuffle, so a key with many rows sends at most one
-    row per task.
+    drop every key set that occurs more than once.  All forms combine before the
+    shuffle, so a key with many rows sends at most one row per task.
     """
     keys = name_list(columns) or list(df.columns)
     require_columns(df, keys, "unique")
@@ -64,13 +70,14 @@ def unique_rows(
     if set(keys) == set(df.columns):
         return df.distinct()
     order = required_order(df, order_by, "unique")
-    ascending = {is_descending(o) for o in order}
-    if len(ascending) > 1:
-        raise ValueError("unique: all order columns must have the same direction")
-    place = F.struct(*cols(order_names(order)), row_hash(df).alias("__tie"))
-    lowest = (keep == "first") != ascending.pop()
-    pick = F.min_by if lowest else F.max_by
-    return df.groupBy(*key_columns(keys)).agg(pick(whole, place).alias("__row")).select("__row.*")
+    first = keep == "first"
+    if one_way(order):
+        best = place_of(df, order, df.columns).pick(whole, first)
+        return df.groupBy(*key_columns(keys)).agg(best.alias("__row")).select("__row.*")
+    # Mixed directions need a window; its limit also keeps one row per key and task.
+    ranked = Window.partitionBy(*cols(keys)).orderBy(*order_columns(order, reverse=not first), row_hash(df))
+    best = df.withColumn("__rank", F.row_number().over(ranked)).filter("__rank = 1")
+    return best.drop("__rank")
 
 
 def key_columns(keys: list[str]) -> list:

@@ -145,6 +145,26 @@ def test_summarize(nulls, group_limit):
     assert got[None] == (9, 1, 1, 4.0, 9.0, None, "z", "z", "z")
 
 
+@pytest.mark.parametrize("group_limit", [1000, 0])
+def test_descending_order_puts_nulls_first(spark, group_limit):
+    df = spark.createDataFrame(
+        [("k", 1, 9, "a"), ("k", 2, 9, "b"), ("k", None, 9, "c"), ("k", 3, 8, "d")], "k string, o int, p int, v string"
+    ).repartition(3)
+    rules = [{"column": "k", "action": "group_by"}] + [
+        {"column": "v", "action": a, "output": a} for a in ("first", "last", "concat")
+    ]
+    down = summarize(df, rules, order_by=[("o", "desc")], group_limit=group_limit)
+    assert rows(down) == [("k", "c", "a", "c, d, b, a")]
+    up = summarize(df, rules, order_by=["o"], group_limit=group_limit)
+    assert rows(up) == [("k", "c", "d", "c, a, b, d")]
+    with pytest.raises(ValueError, match="same direction"):
+        summarize(df, rules, order_by=["o", ("p", "desc")])
+    assert rows(unique_rows(df, ["k"], "first", [("o", "desc")]).select("v")) == [("c",)]
+    assert rows(unique_rows(df, ["k"], "last", [("o", "desc")]).select("v")) == [("a",)]
+    assert rows(unique_rows(df, ["k"], "first", [("p", "desc"), "o"]).select("v")) == [("c",)]
+    assert rows(unique_rows(df, ["k"], "last", [("p", "desc"), "o"]).select("v")) == [("d",)]
+
+
 def test_ordered_aggregates_read_only_their_columns(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     actions = [{"column": "l_returnflag", "action": "group_by"}, {"column": "l_tax", "action": "first"}]
