@@ -31,6 +31,19 @@ REFUSED_WORDS = {"reflect", "try_reflect", "java_method", "select"}
 # Helper names and the Spark functions they stand for.
 HELPERS = {"tostring": "string", "tonumber": "double", "iif": "if"}
 
+# Bracketed character classes.
+ASCII_CLASSES = {
+    "alpha": "a-zA-Z",
+    "digit": "0-9",
+    "alnum": "a-zA-Z0-9",
+    "upper": "A-Z",
+    "lower": "a-z",
+    "word": "a-zA-Z0-9_",
+    "xdigit": "0-9a-fA-F",
+    "space": r"\t-\r ",
+    "blank": r"\t ",
+}
+
 TEXT_TESTS = {"contains", "startswith", "endswith"}
 COMPARE = {"=", "==", "!=", "<>", "<", "<=", ">", ">="}
 
@@ -61,9 +74,11 @@ def java_pattern(pattern: str) -> str:
     """A regular expression in Java notation.
 
     Named groups become plain ones (they are only used by number, and Java
-    allows fewer names), and classes such as ``\\w`` cover all of Unicode.
+    allows fewer names), bracketed classes such as ``[:alpha:]`` are spelled
+    out, and classes such as ``\\w`` cover all of Unicode.
     """
-    return "(?U)" + re.sub(r"\(\?P?<(?![=!])[^>]*>", "(", pattern)
+    pattern = re.sub(r"(?<!\\)\(\?P?<(?![=!])[^>]*>", "(", pattern)
+    return "(?U)" + re.sub(r"\[:(\w+):\]", lambda m: ASCII_CLASSES.get(m[1], m[0]), pattern)
 
 
 def column_name(part: Token) -> str:

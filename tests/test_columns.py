@@ -94,6 +94,18 @@ def test_regex_extract(spark):
         regex_extract(df, "gone", "x", [{"name": "a"}])
 
 
+def test_patterns_in_other_notations(spark):
+    df = spark.createDataFrame([("é1 (x)",), ("Ab 2",)], "t string")
+
+    def got(pattern):
+        return one(regex_extract(df, "t", pattern, [{"name": "o"}]), "o")
+
+    assert got(r"^(\w+)") == ["é1", "Ab"]
+    assert got(r"([[:alpha:]]+)") == ["x", "Ab"]
+    assert got(r"(?<!A)(?P<q>[a-z])") == ["x", None]
+    assert got(r"\((?<in_side>.)\)") == ["x", None]
+
+
 def test_cleanse_text_steps(spark):
     df = spark.createDataFrame([(1, "\t Olá_mundo, 12!\n "), (2, None), (3, "e.g. you're ß")], "id int, s string")
 

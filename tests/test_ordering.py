@@ -53,6 +53,22 @@ def test_copies_are_kept_and_spread(spark, monkeypatch):
     assert [a for a, _ in numbered] == sorted(a for a, _ in numbered)
 
 
+def test_a_frequent_order_value_is_split(spark):
+    df = spark.range(8000).select(F.when(F.col("id") < 5000, 1).otherwise(F.col("id")).alias("k"), "id")
+    sizes = [r[1] for r in rows(ordering.sorted_slices(df, ["k"]).groupBy(ordering.SLICE).count())]
+    assert sum(sizes) == 8000 and max(sizes) < 3500
+
+
+def test_slices_follow_the_input_size(spark, monkeypatch, tmp_path):
+    spark.range(20000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(ordering, "SLICE_BYTES", 8 << 10)
+    slices = ordering.sorted_slices(df, [("id", "desc")], unique_order=True)
+    assert slices.select(ordering.SLICE).distinct().count() > 4
+    numbered = number_rows(df, [("id", "desc")], "n", unique_order=True)
+    assert numbered.filter("n + id <> 19999").count() == 0 and numbered.count() == 20000
+
+
 def test_running_total(spark):
     random.seed(3)
     values = [(i, random.choice([None, 1, 2, 3])) for i in range(500)]
