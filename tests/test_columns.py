@@ -1,6 +1,5 @@
 import pytest
 
-from conftest import rows
 from prepflow.functions.cleanse import cleanse
 from prepflow.functions.datetimes import CUSTOM, FORMAT, convert_datetime, java_format
 from prepflow.functions.expressions import formula_sql
