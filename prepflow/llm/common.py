@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import prepflow.llm
 from prepflow.session import scratch_path
 
+# Functions of this subpackage travel with the task, so that executors need no copy of the library.
+cloudpickle.register_pickle_by_value(prepflow.llm)
+
 #: The letters that folding changes.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -50,3 +58,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_texts(
+    docs: DataFrame,
+    make: Callable[[], Callable[[str | None], tuple]],
+    columns: list[tuple[str, pa.DataType]],
+    schema: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Apply a function of one whole text to every row; gives doc_id and the named columns.
+
+    ``make`` is called once per task, for what is costly to build. Rows are handed over in slices, so that a task
+    holds the results of few documents besides the Arrow batch it reads.
+    """
+    id_type = docs.select(id_col).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for at in range(0, len(ids), 1000):
+                some = [fn(t.as_py()) for t in texts.slice(at, 1000)]
+                arrays = [pa.array(list(x), type=kind) for x, (_, kind) in zip(zip(*some), columns)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *arrays], ["doc_id", *[n for n, _ in columns]])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"doc_id {id_type}, {schema}"
+    )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, mixing
+from prepflow.llm import exact_dedup, mixing, pii, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,8 +37,40 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def listed(found: Column, kinds: tuple[str, ...]) -> Column:
+    """kind:start:end of the spans of some kinds, comma-joined."""
+    chosen = F.filter(found, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(
+        F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+        ",",
+    )
+
+
+def counted(found: Column, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def span_digests(found: DataFrame, base: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
+    return found.select(
+        "doc_id",
+        *[counted(F.col("found"), kind) for kind in base],
+        F.sha2(listed(F.col("found"), base), 256).alias("base_sha256"),
+        listed(F.col("found"), kinds).alias("spans"),
+    )
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(secrets.scan_secrets(documents(spark, sf_dir)), secrets.BASE_KINDS, secrets.KINDS)
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(pii.find_personal_data(documents(spark, sf_dir)), pii.BASE_KINDS, pii.KINDS)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op7_personal_data": op7_personal_data,
     "op9_mix_sources": op9_mix_sources,
 }
 
