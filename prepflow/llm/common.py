@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -87,3 +88,37 @@ def map_texts(
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {id_type}, {schema}"
     )
+
+
+def sample_ids(labelled: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id") -> DataFrame:
+    """At most ``per_label`` ids of each label as (doc_id, label), the same on every run.
+
+    Ids are dealt into ``per_label`` buckets by a hash and the smallest of each is taken, so that one partial
+    aggregation draws the sample. Rows with a null id or label are left out.
+    """
+    return (
+        labelled.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+        .groupBy(F.col(label_col).alias("label"), F.pmod(F.xxhash64(id_col), F.lit(per_label)).alias("bucket"))
+        .agg(F.min(id_col).alias("doc_id"))
+        .select("doc_id", "label")
+    )
+
+
+def sampled_texts(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, label, text) of sampled ids; the ids are bounded by their sample, so they are broadcast.
+
+    Of rows that repeat an id, one is used.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def code_points(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: spreads every input bit over the number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, mixing, pii, secrets
+from prepflow.llm import exact_dedup, mixing, pii, quality, secrets
+from prepflow.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +64,21 @@ def span_digests(found: DataFrame, base: tuple[str, ...], kinds: tuple[str, ...]
     )
 
 
+def held_out_scores(scored: DataFrame, modulus: int, fold: int) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (remainder(F.col("doc_id"), modulus) == fold).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 3) != 1)
+    return held_out_scores(quality.score(docs, quality.fit(docs, labels)), 3, 1)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(secrets.scan_secrets(documents(spark, sf_dir)), secrets.BASE_KINDS, secrets.KINDS)
 
@@ -69,6 +89,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op3_secret_scan": op3_secret_scan,
     "op7_personal_data": op7_personal_data,
     "op9_mix_sources": op9_mix_sources,
