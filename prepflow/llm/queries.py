@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, mixing, pii, quality, secrets
+from prepflow.llm import exact_dedup, mixing, pii, quality, secrets, toxicity
 from prepflow.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,12 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 5) != 0)
+    return held_out_scores(toxicity.score(docs, toxicity.fit(docs, labels)), 5, 0)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_secret_scan": op3_secret_scan,
     "op7_personal_data": op7_personal_data,
+    "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
 }
 
