@@ -9,6 +9,7 @@ the sample, which the trees have not seen, calibrates the score.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepflow.llm.common import map_texts, sample_ids, sampled_texts, words
+from prepflow.llm.common import code_points, map_texts, sample_ids, sampled_texts, words, written
 
 PER_LABEL = 1500
 LEXICON_SIZE = 400
@@ -36,11 +37,10 @@ DISGUISE = str.maketrans("013457@$!", "oieastasi")
 
 WORD = re.compile(r"[^\W_]+(?:[*@$!0-9'’-]+[^\W_]+)*")
 MIXED = re.compile(r"[^\W\d_][*@$!0-9]+[^\W\d_]")
-STRETCHED = re.compile(r"([^\W\d_])\1\1")
-SHOUT = re.compile(r"[!?]{2,}")
+SHOUTED = re.compile(r"\b[A-ZÀ-Þ]{3,}\b")
 
 FEATURES = (
-    "insults", "insults_most", "learned", "learned_most", "learned_hits", "near_you", "you", "capitals", "shouted",
+    "insults", "insult_words", "learned", "learned_most", "learned_words", "learned_sum", "near_you", "you", "capitals", "shouted",
     "marks", "exclaims", "repeats", "disguised", "mixed", "stretched", "symbols", "word_length", "log_words",
 )
 
@@ -62,60 +62,86 @@ def slices(text: str):
         at = end
 
 
+def char_classes() -> np.ndarray:
+    """Class of each code point below 256: 1 capital, 2 mark, 3 exclaiming mark, 4 other sign, 0 the rest."""
+    kinds = np.zeros(256, np.int64)
+    kinds[65:91] = kinds[0xC0:0xDF] = 1
+    kinds[[ord(c) for c in ".,;:\"'()"]] = 2
+    kinds[[ord(c) for c in "!?"]] = 3
+    kinds[[ord(c) for c in "*#%&$|@^~<>{}[]\\/=+_"]] = 4
+    return kinds
+
+
+CLASSES = char_classes()
+BAD_WORDS, YOU_WORDS = frozenset(INSULTS), frozenset(SECOND_PERSON)
+
+
+def learned_gain(word: str, learned: dict[str, float]) -> float:
+    """The largest log-odds of a word and its beginnings."""
+    gain = learned.get(word + " ", 0.0)
+    for size in STEMS:
+        if len(word) >= size:
+            gain = max(gain, learned.get(word[:size], 0.0))
+    return gain
+
+
 def features(text: str | None, learned: dict[str, float]) -> np.ndarray:
-    """One row of FEATURES over a whole text; zeros for null, empty and blank ones."""
-    out = np.zeros(len(FEATURES), np.float64)
-    n = chars = hits = top = weight = most = found = near = you = shouted = disguised = length = 0
-    capitals = marks = exclaims = repeats = mixed = stretched = symbols = 0
-    insults, second = set(INSULTS), set(SECOND_PERSON)
-    stems: dict[str, float] = {}
+    """One row of FEATURES over a whole text; zeros for null, empty and wordless ones.
+
+    Lexicon words count once a slice for what is summed by distinct word, so that one repeated word weighs little.
+    """
+    n = chars = insults = distinct = weight = most = found = near = you = shouted = disguised = mixed = length = 0
+    stretched = repeats = 0
+    classes = np.zeros(5)
     for part in slices(text or ""):
-        tokens = WORD.findall(part)
-        chars += len(part)
-        last_you = last_bad = -NEAR - 1
-        for i, token in enumerate(tokens):
-            low = token.lower()
-            plain = low if low.isalpha() else low.translate(DISGUISE).replace("*", "")
-            length += len(low)
-            shouted += token.isupper() and len(token) > 2
-            bad = plain in insults
-            if bad:
-                hits += 1
-                disguised += plain != low
-            gain = stems.get(low)
-            if gain is None:
-                gain = max([learned.get(low + " ", 0.0), *[learned.get(low[:k], 0.0) for k in STEMS if len(low) >= k]])
-                if len(stems) < 50_000:
-                    stems[low] = gain
-            if gain:
+        tokens = WORD.findall(part.lower())
+        bad, own = set(), set()
+        for word, times in Counter(tokens).items():
+            length += len(word) * times
+            plain = word
+            if not word.isalpha():
+                plain = word.translate(DISGUISE).replace("*", "")
+                mixed += times * bool(MIXED.search(word))
+            if plain in BAD_WORDS:
+                insults += times
+                distinct += 1
+                disguised += times * (plain != word)
+                bad.add(word)
+            if gain := learned_gain(word, learned):
                 weight += gain
                 most = max(most, gain)
                 found += 1
-                bad = True
-            if low in second:
-                you += 1
-                last_you = i
-                near += i - last_bad <= NEAR
-            if bad:
-                last_bad = i
-                near += i - last_you <= NEAR
+                bad.add(word)
+            if word in YOU_WORDS:
+                you += times
+                own.add(word)
+        if bad and own:
+            last_bad = last_you = -NEAR - 1
+            for i, word in enumerate(tokens):
+                if word in own:
+                    last_you = i
+                    near += i - last_bad <= NEAR
+                if word in bad:
+                    last_bad = i
+                    near += i - last_you <= NEAR
+        codes = code_points(part)
+        kinds = np.where(codes < 256, CLASSES[np.minimum(codes, 255)], 0)
+        classes += np.bincount(kinds, minlength=5)
+        repeats += int(((kinds[1:] == 3) & (kinds[:-1] == 3)).sum())
+        stretched += int(((codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2]) & (codes[2:] >= 65)).sum())
+        shouted += len(SHOUTED.findall(part))
         n += len(tokens)
-        capitals += sum(map(str.isupper, part)) if not part.islower() else 0
-        exclaims += part.count("!") + part.count("?")
-        marks += sum(part.count(c) for c in ".,;:!?\"'()")
-        symbols += sum(part.count(c) for c in "*#%&$|@^~<>{}[]\\/=+_")
-        repeats += len(SHOUT.findall(part))
-        mixed += len(MIXED.findall(part))
-        stretched += len(STRETCHED.findall(part))
+        chars += len(part)
     if not n:
-        return out
-    top = min(hits, 8)
-    out[:] = (
-        hits / n, top, weight / n, most, min(found, 40), near / n, you / n, capitals / chars, shouted / n,
-        marks / chars, exclaims / chars, repeats / n, disguised / n, mixed / n, stretched / n, symbols / chars,
-        length / n, np.log1p(n),
+        return np.zeros(len(FEATURES))
+    return np.array(
+        [
+            insults / n, min(distinct, 8), weight / n, most, min(found, 40), min(weight, 60.0), near / n, you / n,
+            classes[1] / chars, shouted / n, classes[2] / chars, classes[3] / chars, repeats / n, disguised / n,
+            mixed / n, stretched / chars, classes[4] / chars, length / n, np.log1p(n),
+        ],
+        np.float64,
     )
-    return out
 
 
 @dataclass
@@ -229,7 +255,8 @@ def learn_lexicon(texts: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float
     gain = F.log((F.col("pos") + 0.5) / (n1 + 1)) - F.log((F.col("neg") + 0.5) / (n0 + 1))
     top = (
         counts.withColumn("gain", gain)
-        .filter("gain > 1.5")
+        .withColumn("expected", (F.col("pos") + F.col("neg") + 1) * F.lit(n1 / (n1 + n0)))
+        .filter((F.col("gain") > 1.5) & ((F.col("pos") - F.col("expected")) > 2.5 * F.sqrt(F.col("expected") + 1)))
         .orderBy((F.col("gain") * F.sqrt("pos")).desc(), "term")
         .limit(size)
         .collect()
@@ -257,19 +284,24 @@ def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", per_labe
     """Fit on at most ``per_label`` rows of each label (0 or 1) of ``labelled`` (doc_id, label_col).
 
     The lexicon is counted and the features are made in the tasks; the driver gets one short row a document.
-    Trees see only documents that the lexicon has not: it is learned from one half of the sample.
+    No document is described by a lexicon it has helped to learn: each half of the sample gets the lexicon of the
+    other half. The finished model uses the lexicon of both.
     """
     ids = sample_ids(labelled, label_col, per_label)
-    texts = sampled_texts(docs, ids).cache()
-    half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(2))
-    learned = learn_lexicon(texts.filter(half == 0))
-    kind = [("x", pa.list_(pa.float64()))]
-    made = map_texts(
-        texts.filter(half == 1), lambda: lambda t: (features(t, learned).tolist(),), kind, "x array<double>"
-    )
-    rows = made.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "label").collect()
-    texts.unpersist()
-    return train([(int(r["label"]), np.array(r["x"])) for r in rows], learned)
+    texts = sampled_texts(docs, ids).withColumn("half", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(2)))
+    texts = written(texts, "sample")
+    of_half = [learn_lexicon(texts.filter(F.col("half") == k)) for k in (0, 1)]
+    rows = []
+    for k in (0, 1):
+        other = of_half[1 - k]
+        made = map_texts(
+            texts.filter(F.col("half") == k),
+            lambda other=other: lambda t: (features(t, other).tolist(),),
+            [("x", pa.list_(pa.float64()))],
+            "x array<double>",
+        )
+        rows += made.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "label").collect()
+    return train([(int(r["label"]), np.array(r["x"])) for r in rows], learn_lexicon(texts))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
