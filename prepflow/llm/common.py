@@ -68,9 +68,12 @@ def map_texts(
     schema: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    many: bool = False,
 ) -> DataFrame:
     """Apply a function of one whole text to every row; gives doc_id and the named columns.
 
+    With ``many`` the function takes a list of texts and gives a list of results.
+
     ``make`` is called once per task, for what is costly to build. Rows are handed over in slices, so that a task
     holds the results of few documents besides the Arrow batch it reads.
     """
@@ -81,7 +84,8 @@ def map_texts(
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(ids), 1000):
-                some = [fn(t.as_py()) for t in texts.slice(at, 1000)]
+                some = [t.as_py() for t in texts.slice(at, 1000)]
+                some = fn(some) if many else [fn(t) for t in some]
                 arrays = [pa.array(list(x), type=kind) for x, (_, kind) in zip(zip(*some), columns)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *arrays], ["doc_id", *[n for n, _ in columns]])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, mixing, pii, quality, secrets, toxicity
+from prepflow.llm import exact_dedup, language, mixing, pii, quality, secrets, toxicity
 from prepflow.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(secrets.scan_secrets(documents(spark, sf_dir)), secrets.BASE_KINDS, secrets.KINDS)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    network = language.fit(docs.filter(remainder(F.col("doc_id"), 4) != 2))
+    return language.identify(docs, network).select(
+        "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(pii.find_personal_data(documents(spark, sf_dir)), pii.BASE_KINDS, pii.KINDS)
 
@@ -97,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_secret_scan": op3_secret_scan,
+    "op6_language": op6_language,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
