@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, language, mixing, pii, quality, secrets, toxicity
+from prepflow.llm import exact_dedup, language, mixing, near_dedup, pii, quality, secrets, toxicity
 from prepflow.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(secrets.scan_secrets(documents(spark, sf_dir)), secrets.BASE_KINDS, secrets.KINDS)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     network = language.fit(docs.filter(remainder(F.col("doc_id"), 4) != 2))
@@ -105,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_secret_scan": op3_secret_scan,
+    "op5_near_dedup": op5_near_dedup,
     "op6_language": op6_language,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
