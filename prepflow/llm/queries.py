@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, language, mixing, near_dedup, pii, quality, secrets, toxicity
+from prepflow.llm import exact_dedup, language, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity
 from prepflow.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(pii.find_personal_data(documents(spark, sf_dir)), pii.BASE_KINDS, pii.KINDS)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -114,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op7_personal_data": op7_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL.strip()}
