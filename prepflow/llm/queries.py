@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, language, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity
+from prepflow.llm import decontaminate, exact_dedup, language, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity
 from prepflow.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,44 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(secrets.scan_secrets(documents(spark, sf_dir)), secrets.BASE_KINDS, secrets.KINDS)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "contaminated",
+        F.size("items").cast("long").alias("n_items"),
+        F.array_join(F.col("items").cast("array<string>"), ",").alias("items"),
+    )
+
+
+#: Every pair of equal words of a document and an item is laid on its line, then dense stretches are sought.
+OP4_SQL = r"""
+WITH item AS (
+    SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words
+    FROM benchmark WHERE item_id IS NOT NULL),
+item_word AS (
+    SELECT item_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM item WHERE len(words) >= 8),
+doc AS (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words
+    FROM documents),
+doc_word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM doc),
+line AS (
+    SELECT doc_id, item_id, d.p - i.p AS shift, i.p AS p, least(n, 13) AS width, (least(n, 13) * 4 + 4) // 5 AS need
+    FROM doc_word d JOIN item_word i USING (word)),
+many AS (
+    SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id, item_id, shift) AS n FROM line
+    WINDOW w AS (PARTITION BY doc_id, item_id, shift ORDER BY p)),
+hit AS (
+    SELECT DISTINCT a.doc_id, a.item_id
+    FROM (SELECT * FROM many WHERE n >= need) a JOIN (SELECT * FROM many WHERE n >= need) b
+      ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.shift = b.shift AND b.k = a.k + a.need - 1
+    WHERE b.p - a.p < a.width),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items
+FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir), size=3, percent=85)
 
@@ -113,6 +151,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_secret_scan": op3_secret_scan,
+    "op4_decontaminate": op4_decontaminate,
     "op5_near_dedup": op5_near_dedup,
     "op6_language": op6_language,
     "op7_personal_data": op7_personal_data,
@@ -121,4 +160,4 @@ QUERIES: dict[str, Query] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL.strip()}
+SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL.strip(), "op4_decontaminate": OP4_SQL.strip()}
