@@ -22,6 +22,7 @@ from prepflow.llm.common import code_points, map_texts, sample_ids, sampled_text
 PER_LABEL = 1500
 LEXICON_SIZE = 400
 STEMS = (4, 5, 6)
+HEAD = min(STEMS)
 
 # Insults and second-person words of the four languages.
 INSULTS = (
@@ -85,7 +86,12 @@ def learned_gain(word: str, learned: dict[str, float]) -> float:
     return gain
 
 
-def features(text: str | None, learned: dict[str, float]) -> np.ndarray:
+def heads(learned: dict[str, float]) -> frozenset[str]:
+    """First characters of all learned terms: most words can be set aside by them."""
+    return frozenset(term.rstrip()[:HEAD] for term in learned)
+
+
+def features(text: str | None, learned: dict[str, float], known: frozenset[str] | None = None) -> np.ndarray:
     """One row of FEATURES over a whole text; zeros for null, empty and wordless ones.
 
     Lexicon words count once a slice for what is summed by distinct word, so that one repeated word weighs little.
@@ -93,11 +99,12 @@ def features(text: str | None, learned: dict[str, float]) -> np.ndarray:
     n = chars = insults = distinct = weight = most = found = near = you = shouted = disguised = mixed = length = 0
     stretched = repeats = 0
     classes = np.zeros(5)
+    known = heads(learned) if known is None else known
     for part in slices(text or ""):
         tokens = WORD.findall(part.lower())
         bad, own = set(), set()
+        length += sum(map(len, tokens))
         for word, times in Counter(tokens).items():
-            length += len(word) * times
             plain = word
             if not word.isalpha():
                 plain = word.translate(DISGUISE).replace("*", "")
@@ -107,7 +114,7 @@ def features(text: str | None, learned: dict[str, float]) -> np.ndarray:
                 distinct += 1
                 disguised += times * (plain != word)
                 bad.add(word)
-            if gain := learned_gain(word, learned):
+            if word[:HEAD] in known and (gain := learned_gain(word, learned)):
                 weight += gain
                 most = max(most, gain)
                 found += 1
@@ -225,9 +232,11 @@ class Model:
     trees: Trees
     steps: tuple[np.ndarray, np.ndarray]
 
-    def score(self, text: str | None) -> float:
-        margin = self.trees.margin(features(text, self.learned)[None])[0]
-        return float(np.interp(margin, *self.steps)) if len(self.steps[0]) else float(1 / (1 + np.exp(-margin)))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Calibrated scores; the trees see all texts at once."""
+        known = heads(self.learned)
+        margin = self.trees.margin(np.stack([features(t, self.learned, known) for t in texts]))
+        return np.interp(margin, *self.steps) if len(self.steps[0]) else 1 / (1 + np.exp(-margin))
 
 
 def terms(text: Column) -> Column:
@@ -310,4 +319,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Whole texts are read; null and empty texts get the score of a text without features. Repeated rows give
     repeated rows, an empty table an empty result; other columns are not looked at.
     """
-    return map_texts(docs, lambda: lambda t: (model.score(t),), [("score", pa.float64())], "score double", id_col, text_col)
+    kind = [("score", pa.float64())]
+    return map_texts(
+        docs, lambda: lambda texts: [(s,) for s in model.scores(texts)], kind, "score double", id_col, text_col, many=True
+    )
