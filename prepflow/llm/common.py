@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 import prepflow.llm
 from prepflow.session import scratch_path
@@ -77,7 +78,7 @@ def map_texts(
     ``make`` is called once per task, for what is costly to build. Rows are handed over in slices, so that a task
     holds the results of few documents besides the Arrow batch it reads.
     """
-    id_type = docs.select(id_col).schema[0].dataType.simpleString()
+    out = StructType([StructField("doc_id", docs.select(id_col).schema[0].dataType), *StructType.fromDDL(schema).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -89,9 +90,7 @@ def map_texts(
                 arrays = [pa.array(list(x), type=kind) for x, (_, kind) in zip(zip(*some), columns)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *arrays], ["doc_id", *[n for n, _ in columns]])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {id_type}, {schema}"
-    )
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
 
 def sample_ids(labelled: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id") -> DataFrame:

@@ -158,3 +158,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.col("items").isNotNull().alias("contaminated"),
         F.coalesce("items", F.array().cast(found.schema["items"].dataType)).alias("items"),
     )
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The clean rows of ``docs`` with all their columns."""
+    found = written(leaks(docs, benchmark, id_col, text_col, **options), "leaks").select(
+        F.col("doc_id").alias("__of"), F.col("crc").alias("__of_crc")
+    )
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__of")) & (crc == F.col("__of_crc")), "left_anti")

@@ -190,3 +190,10 @@ def identify(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col
     """
     kinds = [("lang_pred", pa.string()), ("score", pa.float64())]
     return map_texts(docs, lambda: network.identify, kinds, "lang_pred string, score double", id_col, text_col, many=True)
+
+
+def keep_identified(docs: DataFrame, network: Network, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language has at least ``least_score``."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    found = identify(rows, network, "row", "text")
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("doc_id.*")

@@ -122,7 +122,8 @@ def mix(
             "slot",
             F.when(F.col("rank").isNotNull(), F.floor(F.col("rank") / (1 + F.col("rank")) * intervals)).cast("long"),
         )
-        .select("doc_id", "source", "size", "source_size", "target", "whole", "rank", "slot", "s"),
+        .select("doc_id", "source", "size", "source_size", "target", "whole", "rank", "slot", "s")
+        .withColumn("row", F.monotonically_increasing_id()),
         "ranked",
     )
     certain = ranked.groupBy("s").agg(
@@ -141,9 +142,8 @@ def mix(
     placed = ranked.join(cut, F.col("s").eqNullSafe(F.col("b")), "left")
     edge = placed.filter("slot = cut_slot")
     inner = Window.partitionBy("s").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    # The row at which the budget ends is taken if that brings the source nearer to its target.
     edge = edge.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    edge = edge.withColumn("extra", (F.col("ahead") + F.col("size") / 2 <= F.col("budget")).cast("long"))
+    edge = edge.withColumn("extra", (F.col("ahead") + F.col("size") <= F.col("budget")).cast("long"))
     # Without a cut the budget is never reached: every document with a rank is taken.
     rest = placed.filter("slot is null or cut_slot is null or slot <> cut_slot").withColumn(
         "extra",
@@ -151,10 +151,24 @@ def mix(
         .when(F.col("cut_slot").isNull(), (F.col("target") > 0).cast("long"))
         .otherwise((F.col("slot") < F.col("cut_slot")).cast("long")),
     )
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "extra"]
+    columns = ["row", "doc_id", "source", "size", "source_size", "target", "whole", "extra", "s", "rank", "budget"]
+    drawn = written(edge.select(*columns).unionByName(rest.select(*columns)), "drawn")
+    # What is left of a budget goes to the one document behind the cut whose size fits best, if that is nearer.
+    left = drawn.filter("budget is not null").groupBy("s").agg(
+        (F.max("budget") - F.sum(F.col("size") * F.col("extra"))).alias("left")
+    )
+    left = left.select(F.col("s").alias("b"), "left")
+    fit = F.struct(F.abs(F.col("size") - F.col("left")).alias("miss"), "rank", "row")
+    filler = (
+        drawn.filter("extra = 0 and rank is not null")
+        .join(left, F.col("s").eqNullSafe(F.col("b")))
+        .groupBy("s")
+        .agg(F.min(fit).alias("fit"), F.max("left").alias("left"))
+        .filter("fit.miss < left")
+        .select(F.col("fit.row").alias("filler"))
+    )
     return (
-        edge.select(*columns)
-        .unionByName(rest.select(*columns))
-        .withColumn("copies", F.col("whole") + F.col("extra"))
+        drawn.join(written(filler, "fillers"), F.col("row") == F.col("filler"), "left")
+        .withColumn("copies", F.col("whole") + F.col("extra") + F.col("filler").isNotNull().cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )

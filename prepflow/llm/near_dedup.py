@@ -328,3 +328,10 @@ def near_links(
         .applyInPandas(region_links(percent), "a bigint, b bigint")
     )
     return first.unionByName(written(rest, "more-links"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The kept rows of ``docs`` with all their columns. Ids are taken to be unique; rows with a null id stay."""
+    groups = near_groups(docs, id_col, text_col, **options)
+    keep = written(groups.filter("kept").select(F.col("doc_id").alias("__keep")).distinct(), "keep")
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
