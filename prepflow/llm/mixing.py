@@ -24,6 +24,10 @@ MAX_COPIES = 3
 #: Rank intervals per source; the interval of the cut holds about 1 / INTERVALS of a source's rows.
 INTERVALS = 1 << 16
 
+#: How near to its target, as a share of it, a source is left alone, and how many documents it is filled up with.
+CLOSE = 0.001
+ROUNDS = 4
+
 
 def draw(seed: int, *parts: Column) -> Column:
     """Uniform number in (0, 1), the same on every run: 52 bits of a digest."""
@@ -153,22 +157,29 @@ def mix(
     )
     columns = ["row", "doc_id", "source", "size", "source_size", "target", "whole", "extra", "s", "rank", "budget"]
     drawn = written(edge.select(*columns).unionByName(rest.select(*columns)), "drawn")
-    # What is left of a budget goes to the one document behind the cut whose size fits best, if that is nearer.
-    left = drawn.filter("budget is not null").groupBy("s").agg(
-        (F.max("budget") - F.sum(F.col("size") * F.col("extra"))).alias("left")
-    )
-    left = left.select(F.col("s").alias("b"), "left")
-    fit = F.struct(F.abs(F.col("size") - F.col("left")).alias("miss"), "rank", "row")
-    filler = (
-        drawn.filter("extra = 0 and rank is not null")
-        .join(left, F.col("s").eqNullSafe(F.col("b")))
-        .groupBy("s")
-        .agg(F.min(fit).alias("fit"), F.max("left").alias("left"))
-        .filter("fit.miss < left")
-        .select(F.col("fit.row").alias("filler"))
-    )
-    return (
-        drawn.join(written(filler, "fillers"), F.col("row") == F.col("filler"), "left")
-        .withColumn("copies", F.col("whole") + F.col("extra") + F.col("filler").isNotNull().cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    # What is left of a budget goes to the one document behind the cut whose size fits best, if that is nearer;
+    # sources that are still more than CLOSE of their target away get up to ROUNDS such documents.
+    for _ in range(ROUNDS):
+        left = drawn.filter("budget is not null").groupBy("s").agg(
+            (F.max("budget") - F.sum(F.col("size") * F.col("extra"))).alias("left"), F.max("target").alias("goal")
+        )
+        left = left.filter(F.abs("left") > F.col("goal") * CLOSE).select(F.col("s").alias("b"), "left")
+        fit = F.struct(F.abs(F.col("size") - F.col("left")).alias("miss"), "rank", "row")
+        filler = written(
+            drawn.filter("extra = 0 and rank is not null")
+            .join(left, F.col("s").eqNullSafe(F.col("b")))
+            .groupBy("s")
+            .agg(F.min(fit).alias("fit"), F.max("left").alias("left"))
+            .filter(F.col("fit.miss") < F.abs("left"))
+            .select(F.col("fit.row").alias("filler")),
+            "fillers",
+        )
+        if filler.isEmpty():
+            break
+        more = F.col("extra") + F.col("filler").isNotNull().cast("long")
+        drawn = written(
+            drawn.join(filler, F.col("row") == F.col("filler"), "left").withColumn("extra", more).drop("filler"), "drawn"
+        )
+    return drawn.withColumn("copies", F.col("whole") + F.col("extra")).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
