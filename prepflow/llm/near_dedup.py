@@ -312,7 +312,7 @@ def near_links(
         largest = sizes.groupBy("tree", "region").agg(F.max(F.struct("count", "comp")).alias("most"))
         largest = written(largest.select("tree", "region", F.col("most.comp").alias("main")), "largest")
         outside = split.join(largest, ["tree", "region"]).filter("comp <> main").drop("main")
-        copies = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("bigint"))
+        copies = outside.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)))
         home = F.pmod(F.xxhash64("node"), F.col("blocks"))
         own = own.join(largest, ["tree", "region"], "left").withColumn(
             "query", F.col("query") | F.coalesce(F.col("comp") != F.col("main"), F.lit(False))
