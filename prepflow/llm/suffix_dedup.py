@@ -4,10 +4,11 @@ Two equal strings of ``length`` bytes must meet in one shard. Every such window
 gram has the smallest hash: its anchor. Equal windows have equal anchors, so the grams of all anchors are counted,
 and those that occur once are done with. The text around an anchor that holds all its windows is its piece.
 Anchors whose gram always has the same piece repeat as a whole. For the others, each different piece is cut out once
-and dealt to a shard by its gram; the shard's suffix array is built by induced sorting, and windows that share
-``length`` bytes with another place are those whose permuted common prefixes say so.
+and parted: windows that start within ``STEP`` bytes of each other share a core, and only parts whose core occurs in
+other parts too are dealt to shards, by their core. A shard's suffix array is built by induced sorting, and windows
+that share ``length`` bytes with another place are those whose permuted common prefixes say so.
 
-A gram with more than ``PIECES`` different pieces would overload a shard: its windows are counted one by one by
+A core with more than ``PIECES`` different parts would overload a shard: its windows are counted one by one by
 128 bits of hash, which partial aggregation combines before anything meets.
 """
 
@@ -27,7 +28,8 @@ from prepflow.llm.common import mixed, written
 from prepflow.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 400
-GRAM = 32
+GRAM = 64
+STEP = 64
 PIECES = 2000
 
 #: Bytes of different pieces that a shard holds on average.
@@ -215,20 +217,64 @@ def repeated_windows(
     return [flags[bounds[k] : bounds[k] + max(0, sizes[k] - length + 1)] for k in range(len(pieces))]
 
 
+def part_pieces(length: int, gram: int, step: int):
+    """Pieces -> one row per part: windows whose starts, seen from the anchor, lie in the same ``step`` bytes.
+
+    ``key`` names the core that all windows of the part share, ``part`` its whole content, ``where`` the place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers(4 * length)
+        lowest = gram - length
+        for batch in batches:
+            held: list[list[np.ndarray]] = []
+            for row in batch.to_pylist():
+                data, offset = np.frombuffer(row["bytes"], np.uint8), row["offset"]
+                # Window starts of the blocks, from the anchor and then from the piece's first byte.
+                first = np.arange(lowest, 1, step)
+                last = np.minimum(first + step - 1, 0)
+                low, high = np.maximum(first + offset, 0), np.minimum(last + offset, len(data) - length)
+                some = low <= high
+                first, last, low, high = (x[some] for x in (first, last, low, high))
+                sums, more = prefix_sums(data, VALUES, powers), prefix_sums(data, OTHER, powers)
+                core, content = (
+                    range_hash(sums, a, b, powers) ^ (range_hash(more, a, b, powers) * np.uint64(3))
+                    for a, b in ((last + offset, first + offset + length), (low, high + length))
+                )
+                key = mixed(core + first.astype(np.uint64))
+                content = mixed(content + (low - first - offset).astype(np.uint64))
+                place = np.uint64(row["origin"] & (2**64 - 1)) + (row["start"] + low).astype(np.uint64) * np.uint64(BASE)
+                fixed = [np.full(len(low), row[c]) for c in ("gram", "piece", "times", "origin", "start", "offset")]
+                held.append([*fixed, key.view(np.int64), content.view(np.int64), mixed(place).view(np.int64), low, high - low])
+            if held:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*held)],
+                    ["gram", "piece", "times", "origin", "start", "offset", "key", "part", "where", "low", "more"],
+                )
+
+    return run
+
+
+PART = (
+    "gram bigint, piece bigint, times bigint, origin bigint, start bigint, offset bigint, key bigint, part bigint,"
+    " where bigint, low bigint, more bigint"
+)
+
+
 def shard_spans(length: int):
     def one(group: pd.DataFrame) -> pd.DataFrame:
         found = repeated_windows(
             group["bytes"].tolist(), group["times"].to_numpy(), group["origin"].to_numpy(), group["start"].to_numpy(), length
         )
-        spans = [[x - o for x in spans_of(f, length)] for f, o in zip(found, group["offset"])]
-        out = group[["gram", "piece"]].assign(spans=spans)
+        spans = [spans_of(f, length) for f in found]
+        out = group[["key", "part"]].assign(spans=spans)
         return out[[bool(x) for x in spans]]
 
     return one
 
 
 def window_rows(length: int):
-    """Pieces -> one row per window with 128 bits of hash and the place it was cut from."""
+    """Parts -> one row per window with 128 bits of hash and the place it was cut from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(4 * length)
@@ -243,20 +289,19 @@ def window_rows(length: int):
                 same = lambda x: pa.array(np.full(n, x))
                 place = np.uint64(row["origin"] & (2**64 - 1)) + (row["start"] + at).astype(np.uint64) * np.uint64(BASE)
                 yield pa.RecordBatch.from_arrays(
-                    [same(row["gram"]), same(row["piece"]), same(row["times"]), same(row["offset"]), pa.array(at),
-                     pa.array(h1), pa.array(h2), pa.array(mixed(place).view(np.int64))],
-                    ["gram", "piece", "times", "offset", "at", "h1", "h2", "where"],
+                    [same(row["key"]), same(row["part"]), same(row["times"]), pa.array(at), pa.array(h1), pa.array(h2),
+                     pa.array(mixed(place).view(np.int64))],
+                    ["key", "part", "times", "at", "h1", "h2", "where"],
                 )
 
     return run
 
 
-def window_spans(pieces: DataFrame, length: int) -> DataFrame:
-    """(gram, piece, spans) of the pieces of frequent grams, by counting windows."""
+def window_spans(parts: DataFrame, length: int) -> DataFrame:
+    """(key, part, spans) of the parts of frequent cores, by counting windows."""
     rows = written(
-        pieces.mapInArrow(
-            window_rows(length),
-            "gram bigint, piece bigint, times bigint, offset bigint, at bigint, h1 bigint, h2 bigint, where bigint",
+        parts.mapInArrow(
+            window_rows(length), "key bigint, part bigint, times bigint, at bigint, h1 bigint, h2 bigint, where bigint"
         ),
         "windows",
     )
@@ -269,14 +314,53 @@ def window_spans(pieces: DataFrame, length: int) -> DataFrame:
     )
     return (
         rows.join(often, ["h1", "h2"])
+        .groupBy("key", "part")
+        .agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + length))).alias("spans"))
+    )
+
+
+def piece_spans(cut: DataFrame, length: int, gram: int, step: int, pieces: int, shard_bytes: int) -> DataFrame:
+    """(gram, piece, spans) of cut pieces, spans seen from the anchor."""
+    rows = written(cut.mapInArrow(part_pieces(length, gram, step), PART), "part-rows")
+    parts = written(
+        rows.groupBy("key", "part").agg(
+            F.when((F.max("times") > 1) | (F.min("where") != F.max("where")), 2).otherwise(1).cast("bigint").alias("times"),
+            F.min(F.struct("gram", "piece", "origin", "start", "low", "more")).alias("of"),
+        ),
+        "parts",
+    )
+    per_key = written(parts.groupBy("key").agg(F.count("*").alias("different")), "cores")
+    counted = parts.join(per_key, "key")
+    own = counted.filter("different = 1 and times > 1").select(
+        "key", "part", F.array(F.lit(0).cast("bigint"), F.col("of.more") + length).alias("spans")
+    )
+    shared = written(
+        counted.filter("different > 1")
+        .select("key", "part", "times", "different", "of.*")
+        .join(cut.select("gram", "piece", "bytes"), ["gram", "piece"])
+        .select(
+            "key", "part", "times", "different", "origin", (F.col("start") + F.col("low")).alias("start"),
+            F.substring("bytes", (F.col("low") + 1).cast("int"), (F.col("more") + length).cast("int")).alias("bytes"),
+        ),
+        "shared-parts",
+    )
+    shards = 1 + shared.count() * (length + step) // shard_bytes
+    dealt = shared.filter(F.col("different") <= pieces).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    found = dealt.groupBy("shard").applyInPandas(shard_spans(length), "key bigint, part bigint, spans array<bigint>")
+    frequent = shared.filter(F.col("different") > pieces)
+    if not frequent.isEmpty():
+        found = found.unionByName(window_spans(frequent, length))
+    found = written(own.unionByName(found), "part-spans")
+    return (
+        rows.join(found, ["key", "part"])
         .groupBy("gram", "piece")
-        .agg(F.flatten(F.collect_list(F.array(F.col("at") - F.col("offset"), F.col("at") - F.col("offset") + length))).alias("spans"))
+        .agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("low") - F.col("offset")))).alias("spans"))
     )
 
 
 def removed_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-    pieces: int = PIECES, shard_bytes: int = SHARD_BYTES,
+    step: int = STEP, pieces: int = PIECES, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """(doc_id, crc, spans): bounds of bytes to remove, by id and checksum of the text; spans may overlap."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -316,16 +400,7 @@ def removed_spans(
     )
     # Of rows that repeat an id and text, one gives the piece; its count tells of the others.
     cut = written(cut, "cut-pieces").dropDuplicates(["gram", "piece"])
-    per_gram = mixed_.groupBy("gram").agg(F.count("*").alias("different"))
-    frequent = written(per_gram.filter(F.col("different") > pieces).select("gram"), "frequent-grams")
-    shards = 1 + mixed_.count() * 2 * length // shard_bytes
-    dealt = cut.join(frequent, "gram", "left_anti").withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    spans = dealt.groupBy("shard").applyInPandas(shard_spans(length), "gram bigint, piece bigint, spans array<bigint>")
-    if not frequent.isEmpty():
-        spans = spans.unionByName(
-            window_spans(written(cut.join(frequent, "gram", "left_semi"), "frequent-pieces"), length)
-        )
-    spans = written(spans, "piece-spans")
+    spans = written(piece_spans(cut, length, gram, step, pieces, shard_bytes), "piece-spans")
     part = again.filter("not whole").join(spans, ["gram", "piece"]).select("doc_id", "crc", "place", "spans")
     reach = F.array(F.lit(gram - length).cast("bigint"), F.lit(length).cast("bigint"))
     whole = again.filter("whole").select("doc_id", "crc", "place", reach.alias("spans"))
@@ -370,7 +445,7 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-    pieces: int = PIECES, shard_bytes: int = SHARD_BYTES,
+    step: int = STEP, pieces: int = PIECES, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
 
@@ -379,7 +454,7 @@ def remove_repeats(
     left as they are. Rows that repeat an id and text repeat each other; an empty table gives an empty result; other
     columns are not looked at. ``kept`` may end within a character, so it is binary.
     """
-    spans = written(removed_spans(docs, id_col, text_col, length, gram, pieces, shard_bytes), "spans").select(
+    spans = written(removed_spans(docs, id_col, text_col, length, gram, step, pieces, shard_bytes), "spans").select(
         F.col("doc_id").alias("of"), F.col("crc").alias("of_crc"), "spans"
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(

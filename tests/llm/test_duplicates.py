@@ -178,13 +178,13 @@ def repeat_texts():
     return texts
 
 
-@pytest.mark.parametrize("pieces, slice_", [(2000, 1 << 20), (1, 150)])
-def test_remove_repeats(spark, monkeypatch, pieces, slice_):
-    """Also with every gram treated as frequent and texts cut into short slices."""
+@pytest.mark.parametrize("pieces, slice_, step", [(2000, 1 << 20, 16), (1, 150, 64)])
+def test_remove_repeats(spark, monkeypatch, pieces, slice_, step):
+    """Also with every core treated as frequent and texts cut into short slices."""
     monkeypatch.setattr(suffix_dedup, "SLICE", slice_)
     texts = repeat_texts()
     docs = docs_of(spark, enumerate(texts))
-    out = suffix_dedup.remove_repeats(docs, length=60, gram=12, pieces=pieces).orderBy("doc_id").collect()
+    out = suffix_dedup.remove_repeats(docs, length=60, gram=12, step=step, pieces=pieces).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out] == repeats_brute(texts, 60)
 
 

@@ -25,7 +25,7 @@ def texts_of(spark, n=240):
         lang = sorted(WORDS)[i % 3]
         rows.append((i, " ".join(rng.choice(WORDS[lang]) + rng.choice(["", "a", "e"]) for _ in range(rng.randrange(8, 200))), lang, "s", "l"))
     rows += [(9000, None, "aa", "s", "l"), (9001, "", None, "s", "l"), (9002, "123 --- 45", "bb", "s", "l"), (9003, "x\0y", None, "s", "l")]
-    rows += [(9004, "und die " * 60_000, None, "s", "l"), (9005, "the of", None, "s", "l"), (9005, "the of", None, "s", "l"), (None, "des été", "cc", "s", "l")]
+    rows += [(9004, " ".join(rng.choice(WORDS["bb"]) for _ in range(60_000)), None, "s", "l"), (9005, "the of", None, "s", "l"), (9005, "the of", None, "s", "l"), (None, "des été", "cc", "s", "l")]
     return spark.createDataFrame(rows, SCHEMA)
 
 
