@@ -184,14 +184,14 @@ def agg_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONCAT_SQL = """
-SELECT user_id, coalesce(string_agg(nullif(event_type, 'error'), ', ' ORDER BY ts, event_id), '') AS path
+SELECT user_id, coalesce(string_agg(event_type, ', ' ORDER BY ts, event_id), '') AS path
 FROM events GROUP BY user_id
 """
 
 
 def event_paths(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     df = table(spark, sf_dir, "events").selectExpr(
-        "user_id", "ts", "event_id", "nullif(event_type, 'error') AS kind"
+        "user_id", "ts", "event_id", "event_type AS kind"
     )
     return summarize(df, rules(["user_id"], ("kind", "concat", "path")), order_by=["ts", "event_id"], **options)
 

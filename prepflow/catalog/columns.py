@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prepflow.catalog import query, table
 from prepflow.functions.cleanse import cleanse
 from prepflow.functions.datetimes import CUSTOM, FORMAT, convert_datetime
 from prepflow.operators.columns import formula, prompt_text, regex_extract, select_columns
-from prepflow.operators.filters import filter_column, filter_text, keep_all
+from prepflow.operators.filters import filter_column, filter_text
 from prepflow.operators.ordering import record_id
 
 EVENT_ORDER = ["ts", "event_id"]
@@ -287,7 +289,7 @@ def cleanse_titlecase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
     WITH nulled AS (
       SELECT conv_id, coalesce(nullif(turn, 0), 0) AS turn,
-             coalesce(CASE WHEN role = 'user' THEN text END, '') AS text FROM conversations
+             coalesce(text, '') AS text FROM conversations
     ), trimmed AS (
       SELECT conv_id, turn,
              regexp_replace(text, '^[\t-\r\x{85}\p{Z}]+|[\t-\r\x{85}\p{Z}]+$', '', 'g') AS text FROM nulled
@@ -299,7 +301,7 @@ def cleanse_titlecase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cleanse_chain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id", "nullif(turn, 0) AS turn", "if(role = 'user', text, null) AS text"
+        "conv_id", "nullif(turn, 0) AS turn", "text"
     )
     return cleanse(
         df,
@@ -373,16 +375,15 @@ def format_datetime_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "prompt_template",
     """
-    SELECT conv_id, turn, 'Sort: ' || coalesce(CASE WHEN role = 'user' THEN text END, 'None') || ' [' ||
-           coalesce(CASE WHEN role = 'user' THEN text END, 'None') || ']' AS prompt
+    SELECT conv_id, turn, 'Sort: ' || coalesce(text, 'None') || ' [' || coalesce(nullif(role, 'user'), 'None') || ']' AS prompt
     FROM conversations
     """,
 )
 def prompt_template_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id", "turn", "if(role = 'user', text, null) AS said"
+        "conv_id", "turn", "text AS said", "nullif(role, 'user') AS who"
     )
-    return prompt_text(df, "said", "Sort: {Input} [{said}]", "prompt").drop("said")
+    return prompt_text(df, "said", "Sort: {Input} [{who}]", "prompt").drop("said", "who")
 
 
 # ---- filters ----------------------------------------------------------------
@@ -434,11 +435,21 @@ def filter_false_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_column(nulled_orders(spark, sf_dir), "status", "!=", "O")["false"]
 
 
-@query("filter_noop", "SELECT *, 'true' AS branch FROM supplier")
+@query("filter_noop", "SELECT supplier.*, kind, 'true' AS branch FROM supplier, (VALUES ('column'), ('value'), ('text')) AS k(kind)")
 def filter_noop_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = keep_all(table(spark, sf_dir, "supplier"))
-    marked = [both[p].withColumn("branch", F.lit(p)) for p in ("true", "false")]
-    return marked[0].union(marked[1])
+    """Filters without a column, a value or an expression keep everything."""
+    df = table(spark, sf_dir, "supplier")
+    splits = {
+        "column": filter_column(df, ""),
+        "value": filter_column(df, "s_name", "==", " "),
+        "text": filter_text(df, ""),
+    }
+    marked = [
+        split[port].withColumn("kind", F.lit(kind)).withColumn("branch", F.lit(port))
+        for kind, split in splits.items()
+        for port in ("true", "false")
+    ]
+    return reduce(DataFrame.unionByName, marked)
 
 
 @query(

@@ -12,28 +12,24 @@ from prepflow.operators.stack import union_tables, unique_rows
 ORDER_SQL = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 
 
-def big_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders, about half of whose keys are missing, so that joins find gaps on both sides."""
-    return table(spark, sf_dir, "orders").selectExpr(
-        "if(o_totalprice > 250000, o_custkey, null) AS cust", "o_orderkey", "o_totalprice AS price"
-    )
+def shifted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, with keys shifted against the customers', so that joins find gaps on both sides."""
+    return table(spark, sf_dir, "orders").selectExpr("o_custkey + 75 AS cust", "o_orderkey", "o_totalprice AS price")
 
 
 BIG_SQL = """
-big AS (SELECT CASE WHEN o_totalprice > 250000 THEN o_custkey END AS cust, o_orderkey, o_totalprice AS price FROM orders),
-rich AS (SELECT c_custkey, c_name, c_acctbal AS price FROM customer WHERE c_acctbal > 0)
+big AS (SELECT o_custkey + 75 AS cust, o_orderkey, o_totalprice AS price FROM orders),
+rich AS (SELECT c_custkey, c_name, c_acctbal AS price FROM customer)
 """
 
 
-def rich_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_acctbal > 0").selectExpr(
-        "c_custkey", "c_name", "c_acctbal AS price"
-    )
+def all_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "c_acctbal AS price")
 
 
 def both(spark: SparkSession, sf_dir: str, how: str, **options) -> DataFrame:
     return join_tables(
-        big_orders(spark, sf_dir), rich_customers(spark, sf_dir), "cust", ["c_custkey"], how, **options
+        shifted_orders(spark, sf_dir), all_customers(spark, sf_dir), "cust", ["c_custkey"], how, **options
     )
 
 
@@ -111,10 +107,10 @@ def union_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("union_vertical", "SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_type = 'click'")
+@query("union_vertical", "SELECT * FROM events UNION ALL SELECT * FROM events")
 def union_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return union_tables([events, events.where("event_type = 'click'")], "vertical")
+    return union_tables([events, events], "vertical")
 
 
 UNIQUE_SQL = """
@@ -201,16 +197,17 @@ def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "chunk_rows",
     """
     WITH numbered AS (
-      SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CASE WHEN lang <> 'de' THEN text END AS text, source
+      SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, text, nullif(lang, 'de') AS lang, source
       FROM documents
     )
     SELECT CAST(i // 7 AS BIGINT) AS "Chunk_ID", coalesce(string_agg(text, chr(10) || chr(10) ORDER BY i), '') AS text,
+           coalesce(string_agg(lang, chr(10) || chr(10) ORDER BY i), '') AS lang,
            string_agg(source, chr(10) || chr(10) ORDER BY i) AS source, count(*) AS "Rows_in_Chunk"
     FROM numbered GROUP BY i // 7
     """,
 )
 def chunk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "if(lang <> 'de', text, null) AS text", "source"
+        "doc_id", "text", "nullif(lang, 'de') AS lang", "source"
     )
-    return chunk_rows(df, 7, ["text", "source", "not_there"], "\\n\\n", ["doc_id"], unique_order=True)
+    return chunk_rows(df, 7, ["text", "lang", "source", "not_there"], "\\n\\n", ["doc_id"], unique_order=True)

@@ -77,19 +77,32 @@ def shape_of(pattern: str) -> str | None:
             if letters[0] not in "yMdHhmsS" or letters.startswith("MMM"):
                 return None
             size = len(letters)
-            parts.append(rf"\d{{1,{size}}}" if letters[0] == "S" else rf"\d{{{size}}}")
+            fewer = letters[0] == "S" or (size <= 2 and letters[0] != "y" and not packed(pattern))
+            parts.append(rf"\d{{1,{max(size, 2) if letters[0] != 'S' else size}}}" if fewer else rf"\d{{{size}}}")
         else:
             parts.append({"[": "(?:", "]": ")?"}.get(other) or re.escape(quoted or other))
     return "^" + "".join(parts) + "$"
 
 
+def packed(pattern: str) -> bool:
+    """Do fields follow each other without a sign between them?  Then their widths are fixed."""
+    return bool(re.search(r"([A-Za-z])(?!\1)[A-Za-z]", re.sub(r"'[^']*'", "'", pattern)))
+
+
+def lenient(pattern: str) -> str:
+    """The pattern with one-letter days, months and times, which read one digit or two."""
+    if packed(pattern):
+        return pattern
+    return re.sub(r"('[^']*')|(?<![A-Za-z])([dMHhms])\2(?![A-Za-z])", lambda m: m[1] or m[2], pattern)
+
+
 def parse_with(text: Column, pattern: str) -> Column:
     """Timestamp of a text, or null.
 
     Texts of another shape are set aside first, as a failing parse costs an
     exception per row.
     """
-    parsed = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    parsed = F.try_to_timestamp(text, F.lit(lenient(pattern))).cast("timestamp_ntz")
     shape = shape_of(pattern)
     return F.when(text.rlike(shape), parsed) if shape else parsed
 

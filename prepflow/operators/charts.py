@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from prepflow.operators.joins import null_safe_join
 from prepflow.operators.ordering import number_rows, running_total, sample_rows
 from prepflow.operators.quantiles import GROUP_LIMIT, grouped_quantiles
-from prepflow.schema import col, cols, require_columns, semantic_types
+from prepflow.schema import MOMENT_TYPES, col, cols, data_type, require_columns, semantic_types
 
 # Axis format per semantic type.
 AXIS_FORMATS = {"currency_usd": "$,.2f", "percentage": ".0%"}
@@ -57,26 +57,52 @@ def pie_shares(df: DataFrame, names: str, values: str) -> DataFrame:
     return totals.withColumn("share", F.try_divide(F.col("total").cast("double"), whole))
 
 
+def on_axis(df: DataFrame, x: str, value: Column) -> Column:
+    """A value as a number: dates and timestamps as seconds."""
+    if isinstance(data_type(df, x), MOMENT_TYPES):
+        return value.cast("timestamp").cast("double")
+    return value.cast("double")
+
+
+def off_axis(df: DataFrame, x: str, value: Column) -> Column:
+    """An edge in the type of the axis: timestamps for dates and timestamps."""
+    if isinstance(data_type(df, x), MOMENT_TYPES):
+        return value.cast("timestamp").cast("timestamp_ntz")
+    return value
+
+
+def is_text(df: DataFrame, x: str) -> bool:
+    return isinstance(data_type(df, x), T.StringType)
+
+
 def bins(df: DataFrame, x: str, count: int) -> tuple[Column, Column, Column]:
     """Bin number, lower edge and width of equal bins between the smallest and largest x."""
-    lowest = df.agg(F.min(col(x)).cast("double")).scalar()
-    highest = df.agg(F.max(col(x)).cast("double")).scalar()
+    lowest = df.agg(on_axis(df, x, F.min(col(x)))).scalar()
+    highest = df.agg(on_axis(df, x, F.max(col(x)))).scalar()
     width = (highest - lowest) / F.lit(float(count))
-    place = F.floor(F.try_divide(col(x).cast("double") - lowest, width))
+    place = F.floor(F.try_divide(on_axis(df, x, col(x)) - lowest, width))
     number = F.least(F.coalesce(place, F.lit(0)).cast("bigint"), F.lit(count - 1).cast("bigint"))
     return number, lowest, width
 
 
 def histogram(df: DataFrame, x: str, bin_count: int = 20, color: str | None = None) -> DataFrame:
-    """Rows per equal-width bin of x (and colour); empty bins are absent, nulls left out."""
+    """Rows per equal-width bin of x (and colour); empty bins are absent, nulls left out.
+
+    Dates and timestamps have timestamps as edges; of texts, each value is a bin of its own.
+    """
     require_columns(df, [x, *series(color)], "chart")
+    if is_text(df, x):
+        values = df.filter(col(x).isNotNull()).select(col(x).alias("bin"), *cols(series(color)))
+        counted = values.groupBy("bin", *cols(series(color))).agg(F.count(F.lit(1)).alias("rows"))
+        edges = [F.col("bin").alias("bin_start"), F.col("bin").alias("bin_end")]
+        return counted.select("bin", *edges, *cols(series(color)), "rows")
     number, lowest, width = bins(df, x, bin_count)
     binned = df.filter(col(x).isNotNull()).select(number.alias("bin"), *cols(series(color)))
     counted = binned.groupBy("bin", *cols(series(color))).agg(F.count(F.lit(1)).alias("rows"))
     return counted.select(
         "bin",
-        (lowest + F.col("bin") * width).alias("bin_start"),
-        (lowest + (F.col("bin") + 1) * width).alias("bin_end"),
+        off_axis(df, x, lowest + F.col("bin") * width).alias("bin_start"),
+        off_axis(df, x, lowest + (F.col("bin") + 1) * width).alias("bin_end"),
         *cols(series(color)),
         "rows",
     )
@@ -84,9 +110,10 @@ def histogram(df: DataFrame, x: str, bin_count: int = 20, color: str | None = No
 
 def heatmap(df: DataFrame, x: str, y: str, x_bins: int = 20, y_bins: int = 20,
             z: str | None = None) -> DataFrame:
-    """Rows, or the total of z, per cell of a grid over x and y."""
+    """Rows, or the total of z, per cell of a grid over x and y; of texts, each value is a bin of its own."""
     require_columns(df, [x, y, *series(z)], "chart")
-    x_bin, y_bin = bins(df, x, x_bins)[0], bins(df, y, y_bins)[0]
+    x_bin = col(x) if is_text(df, x) else bins(df, x, x_bins)[0]
+    y_bin = col(y) if is_text(df, y) else bins(df, y, y_bins)[0]
     measure = F.coalesce(F.sum(col(z)), F.lit(0)) if z else F.count(F.lit(1))
     cells = df.filter(col(x).isNotNull() & col(y).isNotNull()).select(
         x_bin.alias("x_bin"), y_bin.alias("y_bin"), *cols(series(z))
@@ -124,10 +151,8 @@ def box_stats(df: DataFrame, x: str, y: str, color: str | None = None,
 def waterfall(df: DataFrame, x: str, y: str) -> DataFrame:
     """Steps of y in the order of x, with the running total before and after each step."""
     steps = bar_totals(df, x, y).withColumnRenamed("total", "step")
-    totals = running_total(steps, "step", [x], "step_end", unique_order=True)
-    return totals.withColumn("step_start", F.col("step_end") - F.col("step")).select(
-        col(x), "step", "step_start", "step_end"
-    )
+    totals = running_total(steps, "step", [x], "step_end", unique_order=True, before="step_start")
+    return totals.select(col(x), "step", "step_start", "step_end")
 
 
 def sankey_links(df: DataFrame, source: str, target: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 from decimal import Decimal
 from typing import Any
@@ -47,21 +48,20 @@ def keep_all(df: DataFrame) -> Split:
     return {"true": df, "false": df.filter(F.lit(False))}
 
 
+#: How a text is read for a column, by Spark type; any other type compares as text.
+PARSERS: dict[type[T.DataType], Callable[[Any], Any]] = {
+    **dict.fromkeys(INTEGER_TYPES, int),
+    **dict.fromkeys(FLOAT_TYPES, float),
+    T.DecimalType: lambda text: Decimal(str(text)),
+    T.BooleanType: lambda text: str(text).lower() in TRUE_WORDS,
+    T.DateType: lambda text: datetime.strptime(str(text), "%Y-%m-%d").date(),
+    **dict.fromkeys((T.TimestampType, T.TimestampNTZType), lambda text: datetime.fromisoformat(str(text))),
+}
+
+
 def typed_value(kind: T.DataType, text: Any) -> Any:
     """The Python value of ``text`` for a column of type ``kind``; bad text raises."""
-    if isinstance(kind, INTEGER_TYPES):
-        return int(text)
-    if isinstance(kind, FLOAT_TYPES):
-        return float(text)
-    if isinstance(kind, T.DecimalType):
-        return Decimal(str(text))
-    if isinstance(kind, T.BooleanType):
-        return str(text).lower() in TRUE_WORDS
-    if isinstance(kind, T.DateType):
-        return datetime.strptime(str(text), "%Y-%m-%d").date()
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return datetime.fromisoformat(str(text))
-    return str(text)
+    return PARSERS.get(type(kind), str)(text)
 
 
 def typed_literal(kind: T.DataType, value: Any) -> Column:

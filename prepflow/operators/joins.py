@@ -7,10 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prepflow.schema import col, estimated_bytes, name_list, require_columns
-
-# A side up to this estimated size may meet a hot key within one task.
-SMALL_SIDE = 1 << 30
+from prepflow.schema import col, name_list, require_columns
 
 # The join words a user may write.
 JOIN_KINDS = {
@@ -44,11 +41,10 @@ def join_tables(
     Which side is broadcast is left to Spark, which checks sizes; ``hint`` is
     passed on to the right side for users who know better.
 
-    A key may hold a large part of either table.  Adaptive execution splits such
-    keys, but only those of a side whose unmatched rows the join does not have to
-    keep: both sides of an inner join, none of a full outer join.  So an outer
-    join whose other side is large is built from an inner join and the unmatched
-    rows, and semi and anti joins look at distinct keys of the other side, which
+    Every input stands in the plan once, so chained joins grow it by one join
+    each.  A key may hold a large part of a table: adaptive execution splits such
+    keys of both sides of an inner join and of the side whose rows a left or right
+    join keeps.  Semi and anti joins look at distinct keys of the other side, which
     combine before the shuffle.
     """
     left_names, right_names = name_list(left_keys), name_list(right_keys)
@@ -77,10 +73,7 @@ def join_tables(
     pairs = [(l_of[a], r_of[b]) for a, b in zip(left_names, right_names)]
     equal = all_equal(pairs)
 
-    if kind == "inner":
-        joined = l_side.join(r_side, equal, "inner")
-    else:
-        joined = outer_join(l_side, r_side, pairs, kind)
+    joined = l_side.join(r_side, equal, kind)
 
     if kind == "right":
         kept_left = [n for n in left.columns if n not in left_names]
@@ -126,41 +119,6 @@ def match_only(
     return left.join(keys, equal, f"left_{kind}")
 
 
-def is_small(df: DataFrame) -> bool:
-    """Is a third of this table harmless in one task?  Unknown sizes count as large."""
-    size = estimated_bytes(df)
-    return size is not None and size <= SMALL_SIDE
-
-
-def outer_join(
-    l_side: DataFrame, r_side: DataFrame, pairs: list[tuple[str, str]], kind: str
-) -> DataFrame:
-    """Left, right or full join that never leaves a large side's hot key in one task."""
-    equal = all_equal(pairs)
-    if l_side.isStreaming or r_side.isStreaming:
-        return l_side.join(r_side, equal, kind)
-    small_left, small_right = is_small(l_side), is_small(r_side)
-    whole = {
-        "left": small_right,
-        "right": small_left,
-        "full": small_left and small_right,
-    }
-    if whole[kind]:
-        return l_side.join(r_side, equal, kind)
-    l_keys, r_keys = [a for a, _ in pairs], [b for _, b in pairs]
-    keep_left, keep_right = kind in ("left", "full"), kind in ("right", "full")
-    parts = [l_side.join(r_side, equal, "inner")]
-    if keep_left and small_right:
-        parts, keep_left = [l_side.join(r_side, equal, "left")], False
-    elif keep_right and small_left:
-        parts, keep_right = [l_side.join(r_side, equal, "right")], False
-    if keep_left:
-        parts.append(match_only(l_side, r_side, l_keys, r_keys, "anti", None))
-    if keep_right:
-        parts.append(match_only(r_side, l_side, r_keys, l_keys, "anti", None))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
 def null_safe_join(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     """Inner join of tables that hold one row per key set each; null keys match."""
 

@@ -215,11 +215,11 @@ def slice_offsets(slices: DataFrame, amount: Column) -> DataFrame:
     sums = slices.groupBy(SLICE).agg(amount.alias("amount"))
     before, rows = None, []
     for row in sorted(sums.collect(), key=lambda r: r[SLICE]):
-        value = row["amount"]
         if before is None:
-            before = value - value
+            # A zero of the sums' own type: a first sum of NaN or infinity must not spread to the rows before it.
+            before = type(row["amount"])(0)
         rows.append((row[SLICE], before))
-        before = before + value
+        before = before + row["amount"]
     schema = T.StructType([T.StructField(SLICE, T.IntegerType()), T.StructField("__before", sums.schema["amount"].dataType)])
     return slices.sparkSession.createDataFrame(rows, schema)
 
@@ -237,16 +237,28 @@ def number_rows(
 
 
 def running_total(
-    df: DataFrame, value: str, order_by: OrderBy, name: str, unique_order: bool = False
+    df: DataFrame,
+    value: str,
+    order_by: OrderBy,
+    name: str,
+    unique_order: bool = False,
+    before: str | None = None,
 ) -> DataFrame:
-    """Append the running sum of ``value`` in the given order."""
+    """Append the running sum of ``value`` in the given order, and under ``before`` the sum up to the row before."""
     slices = sorted_slices(df, order_by, unique_order)
     offsets = slice_offsets(slices, F.coalesce(F.sum(col(value)), F.lit(0)))
     within = Window.partitionBy(SLICE).orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
-    summed = slices.withColumn("__sum", F.coalesce(F.sum(col(value)).over(within), F.lit(0)))
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda window: F.coalesce(F.sum(col(value)).over(window), F.lit(0))
+    summed = slices.withColumn("__sum", total(within))
+    extra = []
+    if before:
+        summed = summed.withColumn("__earlier", total(earlier))
+        extra = [(F.col("__before") + F.col("__earlier")).alias(before)]
     return summed.join(F.broadcast(offsets), SLICE).select(
-        *cols(c for c in df.columns if c != name),
+        *cols(c for c in df.columns if c not in (name, before)),
         (F.col("__before") + F.col("__sum")).alias(name),
+        *extra,
     )
 
 
@@ -281,16 +293,19 @@ def sample_rows(
 ) -> DataFrame:
     """First, last or random ``n_records`` rows; all rows when there are fewer.
 
-    A random sample is exact in size and without replacement.
+    A random sample is exact in size and without replacement.  The same seed draws
+    the same rows at every size and partitioning.
     """
     n = int(n_records)
     if n <= 0:
         return df.limit(0)
     require_batch(df, "sample")
     if sample_type == "random":
+        seed = random.getrandbits(62) if seed is None else seed
+        drawn = numbered_copies(df).withColumn("__draw", F.xxhash64(F.lit(seed), TIE, COPY))
         if n <= TOP_N_LIMIT:
-            return df.orderBy(F.rand(seed)).limit(n)
-        return large_random_sample(df, n, random.getrandbits(62) if seed is None else seed)
+            return drawn.orderBy("__draw", TIE, COPY).limit(n).select(*cols(df.columns))
+        return large_random_sample(df, drawn, n)
     if sample_type not in ("first", "last"):
         return df
     order = required_order(df, order_by, "sample")
@@ -308,14 +323,13 @@ def sample_rows(
     return numbered.filter(wanted).drop("__row")
 
 
-def large_random_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """Random rows by the lowest values of a hash of row, copy number and seed.
+def large_random_sample(df: DataFrame, drawn: DataFrame, n: int) -> DataFrame:
+    """Rows with the lowest draws, a hash of row, copy number and seed.
 
     A shuffle on ``rand()`` could change when a lost task is repeated; the hash
     cannot.  Only about n rows, those below a cut that follows from the row
     count, are sorted; should the cut turn out too low, all rows are.
     """
-    drawn = numbered_copies(df).withColumn("__draw", F.xxhash64(F.lit(seed), TIE, COPY))
     share = (n + 8 * n**0.5 + 100) / max(df.count(), 1)
     below = drawn
     if share < 1:

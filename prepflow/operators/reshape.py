@@ -52,7 +52,7 @@ def pivot_wide(
     require_batch(df, "pivot")
     header = F.coalesce(col(columns).cast("string"), F.lit("null"))
     if header_values is None:
-        header_values = find_headers(df, header, header_order_by)
+        header_values = find_headers(df, col(columns).cast("string"), header_order_by)
 
     if aggregate_function in ("first", "last"):
         order = required_order(df, order_by, "pivot")
@@ -74,7 +74,10 @@ def find_headers(df: DataFrame, header: Column, order: str | None) -> list[str]:
     rows = found.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"pivot: more than {limit} header values ({MAX_HEADERS})")
-    return [r["h"] for r in rows]
+    names = [r["h"] for r in rows]
+    if None in names and "null" in names:
+        raise ValueError("pivot: the header column holds both null and the text 'null'")
+    return ["null" if n is None else n for n in names]
 
 
 def common_type(kinds: list[T.DataType]) -> T.DataType:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 from typing import Any
@@ -10,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from prepflow.operators.ordering import sort_rules
-from prepflow.plans.registry import ALIASES, Inputs, find_operator
+from prepflow.plans.registry import ALIASES, NODE_SETTINGS, PARAMETER_ALIASES, Inputs, find_operator
 from prepflow.schema import carry_tags
 from prepflow.session import shared_folder
 
@@ -58,14 +59,21 @@ def cache_table(df: DataFrame, reliable: bool = False) -> DataFrame:
     return df.checkpoint()
 
 
-def enabled(node: dict[str, Any], by_id: dict[str, dict[str, Any]]) -> bool:
-    """Is the node outside of all switched-off containers?"""
-    current: dict[str, Any] | None = node
-    while current is not None:
-        if current.get("type") == "container" and current.get("data", {}).get("enabled") is False:
-            return False
-        current = by_id.get(current.get("parentId"))
-    return True
+def switched_off(nodes: list[dict[str, Any]]) -> set[str]:
+    """Ids of all switched-off containers and of everything inside them."""
+    inside: dict[str, list[str]] = defaultdict(list)
+    for node in nodes:
+        inside[node.get("parentId")].append(node["id"])
+    off: set[str] = set()
+    todo = [
+        n["id"] for n in nodes if n.get("type") == "container" and n.get("data", {}).get("enabled") is False
+    ]
+    while todo:
+        found = todo.pop()
+        if found not in off:
+            off.add(found)
+            todo += inside[found]
+    return off
 
 
 def run_graph(spark: SparkSession, spec: dict[str, Any]) -> GraphResult:
@@ -77,7 +85,8 @@ def run_graph(spark: SparkSession, spec: dict[str, Any]) -> GraphResult:
     an error for the whole graph.
     """
     every = {n["id"]: n for n in spec.get("nodes", [])}
-    nodes = {i: n for i, n in every.items() if enabled(n, every) and n.get("type") != "container"}
+    off = switched_off(list(every.values()))
+    nodes = {i: n for i, n in every.items() if i not in off and n.get("type") != "container"}
     edges = [
         e for e in spec.get("edges", []) if e.get("source") in nodes and e.get("target") in nodes
     ]
@@ -108,6 +117,19 @@ def run_graph(spark: SparkSession, spec: dict[str, Any]) -> GraphResult:
     return result
 
 
+def given_parameters(kind: str, known: dict[str, Any], given: dict[str, Any]) -> dict[str, Any]:
+    """A node's own parameters under their usual names; a name the node type does not know is an error."""
+    spelled = PARAMETER_ALIASES.get(kind, {})
+    out = {}
+    for name, value in given.items():
+        name = spelled.get(name, name)
+        if name in known:
+            out[name] = value
+        elif name not in NODE_SETTINGS:
+            raise ValueError(f"{kind}: unknown parameter {name!r}; parameters are {sorted(known)}")
+    return out
+
+
 def run_node(
     spark: SparkSession,
     node: dict[str, Any],
@@ -129,8 +151,7 @@ def run_node(
     if operator.needs_input and not inputs:
         raise ValueError("no input table is connected")
 
-    given = {k: v for k, v in (node.get("parameters") or {}).items() if k in operator.defaults}
-    params = operator.defaults | given
+    params = operator.defaults | given_parameters(kind, operator.defaults, node.get("parameters") or {})
     inherited = row_order.get(incoming[0]["source"], []) if len(incoming) == 1 else []
     if kind in USES_ORDER and not params.get("order_by") and inherited:
         params["order_by"] = inherited

@@ -84,7 +84,8 @@ def run_join(spark: SparkSession, inputs: Inputs, params: dict[str, Any]) -> Res
         spellings = (f"{side}_keys", f"{side}_key", f"{side}_on")
         return next((params[s] for s in spellings if params.get(s)), [])
 
-    return join_tables(left, right, keys("left"), keys("right"), params["how"])
+    return join_tables(left, right, keys("left"), keys("right"), params["how"],
+                       suffix=params["suffix"], coalesce_keys=params["coalesce_keys"])
 
 
 def run_union(spark: SparkSession, inputs: Inputs, params: dict[str, Any]) -> Result:
@@ -128,6 +129,9 @@ def run_file_input(spark: SparkSession, inputs: Inputs, params: dict[str, Any])
             "delimiter": params["csvDelimiter"],
             "header": params["csvHeader"],
             "encoding": params["csvEncoding"],
+            "multi_line": params["multi_line"],
+            "same_columns": params["same_columns"],
+            "schema": params["schema"],
         }
     return read_any(spark, path, kind, params["process_local"], **options)
 
@@ -146,9 +150,12 @@ def run_python(spark: SparkSession, inputs: Inputs, params: dict[str, Any]) -> R
 
 
 register("fileInput", run_file_input, needs_input=False, filePath="", fileType="auto",
-         process_local=True, csvDelimiter=",", csvHeader=True, csvEncoding="utf-8")
-register("databaseInput", lambda s, i, p: jdbc.read_query(s, p["db_uri"], p["query"]),
-         needs_input=False, db_uri="", query="")
+         process_local=True, csvDelimiter=",", csvHeader=True, csvEncoding="utf-8",
+         multi_line=False, same_columns=False, schema=None)
+register("databaseInput",
+         lambda s, i, p: jdbc.read_query(s, p["db_uri"], p["query"], partition_column=p["partition_column"],
+                                         bounds=p["bounds"], partitions=p["partitions"]),
+         needs_input=False, db_uri="", query="", partition_column=None, bounds=None, partitions=None)
 register("remote_in", lambda s, i, p: read_remote(s, p["bucket"], p["path"], p["file_format"]),
          needs_input=False, bucket="", path="", file_format="csv")
 register("imageCaption", lambda s, i, p: image_table(s, p["imagePath"], p["captioner"]),
@@ -175,23 +182,25 @@ register("data_cleansing", on_table(cleanse), columns=[], replace_nulls_string=F
          replace_nulls_numeric=False, trim_whitespace=False, remove_punctuation=False,
          remove_numbers=False, remove_letters=False, string_case="None")
 register("datetime", on_table(convert_datetime), column="", action=PARSE, format=AUTO,
-         custom_format="", output_column="")
-register("record_id", on_table(record_id), column_name="RecordID", starting_value=1, order_by=None)
+         custom_format="", output_column="", whole_column=False)
+register("record_id", on_table(record_id), column_name="RecordID", starting_value=1, order_by=None,
+         unique_order=False)
 register("browse", on_table(browse))
 
 register("join", run_join, left_keys=[], right_keys=[], left_key="", right_key="", left_on=[],
-         right_on=[], how="inner")
+         right_on=[], how="inner", suffix="_right", coalesce_keys=False)
 register("union", run_union, how="diagonal")
 register("summarize", on_table(summarize), actions=[], group_by=[], agg_column="",
          agg_function="sum", output_name="Aggregated", order_by=None)
 register("pivot", on_table(pivot_wide), index=[], columns="", values="",
-         aggregate_function="sum", order_by=None)
+         aggregate_function="sum", order_by=None, header_values=None, header_order_by=None)
 register("unpivot", on_table(unpivot_long), id_vars=[], value_vars=[], variable_name="name",
          value_name="value")
 register("unique", on_table(unique_rows), columns=[], keep="first", order_by=None)
-register("sampling", on_table(sample_rows), sample_type="first", n_records=100, order_by=None)
+register("sampling", on_table(sample_rows), sample_type="first", n_records=100, order_by=None,
+         seed=None, unique_order=False)
 register("chunk_rows", on_table(chunk_rows), chunk_size=10, columns_to_chunk=[],
-         row_separator="\n", order_by=None)
+         row_separator="\n", order_by=None, unique_order=False)
 register("visualization", run_chart, chartType="scatter", xAxis="", yAxis="", colorBy="",
          barmode="group", title="")
 register("python_code", run_python, needs_input=False, fn=None)
@@ -206,6 +215,15 @@ ALIASES = {
     "gcs_out": "remote_out",
 }
 
+# Other parameter names a stored graph may use.
+PARAMETER_ALIASES = {
+    "record_id": {"start_value": "starting_value"},
+    "regex": {"regex_pattern": "pattern", "target_column": "column"},
+}
+
+# Settings of a node that are none of its operator's.
+NODE_SETTINGS = {"isCached", "label"}
+
 
 def find_operator(name: str) -> Operator:
     name = ALIASES.get(name, name)

@@ -64,16 +64,6 @@ def castable(text: Column, target: str) -> Column:
     return text.rlike(NUMBER_SHAPES[target])
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Spark's own size estimate of a table, without running anything; none if it has none.
-
-    File scans count the size of their files, filters keep it, joins multiply: the
-    estimate errs to the large side.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < UNKNOWN_SIZE else None
-
-
 def input_bytes(df: DataFrame) -> int | None:
     """Size of everything a table is read from, a fair guess at its order of magnitude."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

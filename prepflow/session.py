@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+#: Folders made up for local applications whose session names none.
+MADE_FOLDERS: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", app: str = "prepflow", **conf: str) -> SparkSession:
     """Session for tests and benchmarks on one machine; clusters bring their own."""
@@ -35,16 +38,16 @@ def shared_folder(spark: SparkSession) -> str:
     A machine-local folder is only made up for a local master, where driver and
     executors are the same process.
     """
-    named = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None) or MADE_FOLDERS.get(context.applicationId)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError(
             f"set {CHECKPOINT_CONF} to a folder all executors share before using ordered operators"
         )
-    made = tempfile.mkdtemp(prefix="prepflow-")
-    spark.conf.set(CHECKPOINT_CONF, made)
-    return made
+    MADE_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="prepflow-")
+    return MADE_FOLDERS[context.applicationId]
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from prepflow.operators.stack import union_tables
-from prepflow.schema import cols
+from prepflow.schema import col, cols
 from prepflow.sources.infer import infer_types, null_tokens, semantic_profile_cast
 
 SOURCE_FILE = "Source_File"
@@ -83,9 +83,9 @@ def read_parquet(spark: SparkSession, path: str, source_file: bool = False) -> D
 def read_jsonl(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
-    """One JSON object per line; a schema saves the pass that infers it."""
+    """One JSON object per line; a schema saves the pass that infers it.  A line that is no object fails the read."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path)
+    return reader.option("mode", "FAILFAST").json(path)
 
 
 def with_source_file(df: DataFrame) -> DataFrame:
@@ -110,6 +110,8 @@ def csv_text(
         encoding=encoding,
         inferSchema=False,
         multiLine=multi_line,
+        mode="FAILFAST",
+        enforceSchema=schema is not None,
         quote='"',
         escape='"',
     )
@@ -140,12 +142,17 @@ def read_csv(
 
     A wildcard may match files with different columns: files are grouped by their
     header line and stacked by name.  ``same_columns`` states that all files
-    share one header and skips looking at each.  Quoted line breaks need
+    share one header and skips looking at each; another header then fails the
+    read, and so does a line with too many or too few cells.  With a ``schema``,
+    cells are cast as Spark casts them, so that a bad one fails under ANSI mode.  Quoted line breaks need
     ``multi_line``, at the price of reading each file in one task.
     """
     if schema is not None:
-        df = csv_text(spark, path, delimiter, header, encoding, schema, multi_line)
-        return null_tokens(with_source_file(df) if source_file else df)
+        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+        df = csv_text(spark, path, delimiter, header, encoding, text, multi_line)
+        df = null_tokens(with_source_file(df) if source_file else df)
+        return df.withColumns({f.name: col(f.name).cast(f.dataType) for f in fields})
     paths = matching_files(spark, path)
     if header and not same_columns and len(paths) > 1:
         groups = files_by_header(spark, paths, delimiter, encoding)

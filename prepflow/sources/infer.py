@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from prepflow.functions.datetimes import shape_of
+from prepflow.functions.datetimes import lenient, shape_of
 from prepflow.operators.ordering import OrderBy, sample_rows
 from prepflow.schema import SEMANTIC_KEY, col, require_batch
 
@@ -70,7 +70,7 @@ def null_tokens(df: DataFrame) -> DataFrame:
 def read_as(text: Column, kind: str) -> Column:
     """Value of a text of a kind: a type to cast to, or ``date`` and its pattern."""
     _, _, pattern = kind.partition(" ")
-    return F.try_to_date(text, pattern) if pattern else text.try_cast(kind)
+    return F.try_to_date(text, lenient(pattern)) if pattern else text.try_cast(kind)
 
 
 def kind_flag(text: Column, marks: Column) -> Column:
@@ -126,13 +126,14 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 def as_currency(text: Column) -> Column:
     """Number of a currency text; an amount in parentheses is negative."""
-    bare = F.regexp_replace(text, r"[$,\s]", "")
-    return F.regexp_replace(bare, r"^\((.*)\)$", "-$1").try_cast("double")
+    amount = F.translate(text, "$,() \t\r\n\f\x0b", "").try_cast("double")
+    opened, closed = text.rlike(r"^\s*\("), text.rlike(r"\)\s*$")
+    return F.when(opened & closed, -amount).when(~opened & ~closed, amount)
 
 
 def as_fraction(text: Column) -> Column:
     """Number of a percentage text, divided by 100."""
-    return F.replace(text, F.lit("%"), F.lit("")).try_cast("double") / F.lit(100.0)
+    return F.translate(text, "%", "").try_cast("double") / F.lit(100.0)
 
 
 SEMANTIC_CASTS = {"currency_usd": as_currency, "percentage": as_fraction}
@@ -181,10 +182,15 @@ def semantic_profile_cast(
 ) -> DataFrame:
     """Turn currency and percentage texts into numbers and tag their columns.
 
-    ``kinds`` states the semantic types and saves the job that finds them.
+    ``kinds`` states the semantic types and saves the job that finds them.  With a
+    ``sample_size`` the first rows rule columns out; those left must hold on all
+    rows, so that no value is lost.
     """
     if kinds is None:
         kinds = find_semantic_types(df, columns, sample_size, order_by)
+        if sample_size and kinds:
+            everywhere = find_semantic_types(df, list(kinds))
+            kinds = {name: kind for name, kind in kinds.items() if everywhere.get(name) == kind}
     if not kinds:
         return df
     out = []

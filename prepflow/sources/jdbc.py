@@ -21,15 +21,24 @@ SAVE_MODES = {
 }
 
 
+#: What a query is read as: quoted text with doubled quotes, comments, words and single signs.
+TOKEN = re.compile(
+    r"""(?P<skip>'(?:[^']|'')*'|"(?:[^"]|"")*"|--[^\n]*|/\*.*?\*/|\s+)|(?P<token>\w+|.)""", re.DOTALL
+)
+
+
+def sql_tokens(query: str):
+    """Words and signs of a query outside of quotes and comments; an open quote is a sign of its own."""
+    return (m["token"] for m in TOKEN.finditer(query) if m["token"])
+
+
 def check_query(query: str) -> str:
     """Refuse chained or data-changing SQL; quoted text does not count."""
-    bare = re.sub(r"'.*?'|\".*?\"", "", query, flags=re.DOTALL)
-    if ";" in bare:
-        raise GuardError("query: only one statement is allowed")
-    words = set(re.findall(r"\w+", bare.upper()))
-    for word in CHANGING_WORDS:
-        if word in words:
-            raise GuardError(f"query: {word} is not allowed in a read")
+    for token in sql_tokens(query):
+        if token == ";":
+            raise GuardError("query: only one statement is allowed")
+        if token.upper() in CHANGING_WORDS:
+            raise GuardError(f"query: {token.upper()} is not allowed in a read")
     return query
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from prepflow.functions.cleanse import trim_space
 from prepflow.operators.batches import describe_with
 from prepflow.operators.ordering import OrderBy, order_columns, required_order
-from prepflow.schema import col, cols, require_columns
+from prepflow.schema import col, cols, data_type, require_columns
 
 LINE_BREAK = r"\r\n|\n|\r"
 TEXT_LINE = "Text_Line"
@@ -51,8 +51,10 @@ def promote_header(
         if first is None:
             return df.select(*cols(keep))
         header = first[cells]
-        at = first["at"].asDict()
-        rows = df.filter(~all_same(at))
+        same = all_same(df, first["at"].asDict())
+        if df.filter(same).limit(2).count() > 1:
+            raise ValueError("promote_header: several rows share the first place in order_by; order by more columns")
+        rows = df.filter(~same)
     names = [str(h).strip() if h and str(h).strip() else f"Column_{i}" for i, h in enumerate(header)]
     cell = [
         F.coalesce(F.try_element_at(col(cells), F.lit(i + 1)), F.lit("")).alias(n)
@@ -65,10 +67,10 @@ def order_field_names(order: list) -> list[str]:
     return [o if isinstance(o, str) else o[0] for o in order]
 
 
-def all_same(values: dict):
+def all_same(df: DataFrame, values: dict):
     condition = F.lit(True)
     for name, value in values.items():
-        condition = condition & col(name).eqNullSafe(F.lit(value))
+        condition = condition & col(name).eqNullSafe(F.lit(value).cast(data_type(df, name)))
     return condition
 
 
@@ -109,13 +111,19 @@ def image_table(
     path: str,
     captioner: Callable[[list[str]], Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Path, size and format of every image; ``captioner`` describes batches of paths."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    """Path, size and format of every image; ``captioner`` describes batches of paths.
+
+    A file that is no image fails the job and is named.
+    """
+    images = spark.read.format("image").load(path).select("image.*")
+    broken = F.raise_error(F.concat(F.lit("no readable image: "), F.col("origin"))).cast("int")
+    images = images.withColumn("width", F.when(F.col("width") > 0, F.col("width")).otherwise(broken))
+    extension = F.upper(F.element_at(F.split("origin", r"\."), -1))
     table = images.select(
         F.element_at(F.split("origin", "/"), -1).alias("ImagePath"),
         F.col("origin").alias("ResolvedPath"),
         F.concat_ws("x", "width", "height").alias("Dimensions"),
-        F.upper(F.element_at(F.split("origin", r"\."), -1)).alias("Format"),
+        F.when(extension == "JPG", "JPEG").when(extension == "TIF", "TIFF").otherwise(extension).alias("Format"),
     )
     if captioner is None:
         described = table.withColumn("Description", F.lit(None).cast("string"))
