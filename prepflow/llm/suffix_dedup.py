@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +27,9 @@ from prepflow.llm.common import mixed, written
 from prepflow.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 400
-GRAM = 64
-STEP = 64
+GRAM = 256
+STEP = 73
+NARROW = 16
 PIECES = 2000
 
 #: Bytes of different pieces that a shard holds on average.
@@ -166,90 +166,74 @@ def cut_pieces(length: int, gram: int):
     return run
 
 
-def spans_of(flags: np.ndarray, length: int) -> list[int]:
-    """Bounds of the bytes covered by the flagged windows: start, end, start, end, ..."""
-    edges = np.diff(np.concatenate(([False], flags, [False])).astype(np.int8))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) + length - 1
-    out: list[int] = []
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        if out and a <= out[-1]:
-            out[-1] = b
-        else:
-            out += [a, b]
-    return out
+def repeated(s: np.ndarray, valid: np.ndarray, place: np.ndarray, times: np.ndarray, length: int) -> np.ndarray:
+    """Which valid places of a string begin ``length`` symbols that also begin at another place.
 
-
-def repeated_windows(
-    pieces: list[bytes], times: np.ndarray, origin: np.ndarray, start: np.ndarray, length: int
-) -> list[np.ndarray]:
-    """For each piece, whether the window from each of its bytes also starts at another place.
-
-    ``origin`` and ``start`` say where a piece was cut: windows of two pieces that are the same place do not count.
-    Pieces with ``times`` above 1 repeat as a whole.
+    Symbol 1 ends a piece, 0 the string. Equal ``place`` is the same place, and ``times`` above 1 is several.
     """
-    sizes = np.array([len(p) for p in pieces])
-    bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
-    s = np.zeros(bounds[-1] + 1, np.int64)
-    s[:-1] = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    inside = np.ones(len(s), bool)
-    inside[bounds[1:] - 1] = False
-    inside[-1] = False
-    # Bytes count from 2, what ends a piece is 1 and what ends the string 0.
-    s = np.where(inside, s + 2, 1)
-    s[-1] = 0
     sa = suffix_array(s)
-    shared = common_prefixes(s, sa, ~inside, 4 * length)
-    owner = np.repeat(np.arange(len(pieces)), sizes + 1)
-    owner = np.append(owner, 0)
-    within = np.arange(len(s)) - bounds[:-1][owner]
-    valid = inside & (within + length <= sizes[owner])
-    _, document = np.unique(origin, return_inverse=True)
-    place = document[owner] * (1 << 40) + start[owner] + within
+    shared = common_prefixes(s, sa, s == 1, 8 * length)
     order = sa[valid[sa]]
-    # Between two windows that share all their bytes only such windows stand, so the invalid ones never part a group.
-    joined = np.concatenate(([False], shared[order[1:]] >= length)) if len(order) else np.zeros(0, bool)
     flags = np.zeros(len(s), bool)
     if len(order):
-        first = np.flatnonzero(~joined)
+        # Between two windows that share all their symbols only such windows stand, so the others never part a group.
+        first = np.flatnonzero(np.concatenate(([True], shared[order[1:]] < length)))
         low, high = np.minimum.reduceat(place[order], first), np.maximum.reduceat(place[order], first)
-        often = np.maximum.reduceat(times[owner[order]], first) > 1
+        often = np.maximum.reduceat(times[order], first) > 1
         flags[order] = np.repeat((low != high) | often, np.diff(np.append(first, len(order))))
-    return [flags[bounds[k] : bounds[k] + max(0, sizes[k] - length + 1)] for k in range(len(pieces))]
+    return flags
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column one after another, and where each value begins and the last one ends."""
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in column.to_pylist()]))).astype(np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8), bounds
+
+
+def pair_hash(sums: np.ndarray, more: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    return range_hash(sums, start, end, powers) ^ (range_hash(more, start, end, powers) * np.uint64(3))
+
+
+def place_of(origin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number for a byte of a document."""
+    return mixed(origin.astype(np.int64).view(np.uint64) + at.astype(np.uint64) * np.uint64(BASE)).view(np.int64)
 
 
 def part_pieces(length: int, gram: int, step: int):
     """Pieces -> one row per part: windows whose starts, seen from the anchor, lie in the same ``step`` bytes.
 
-    ``key`` names the core that all windows of the part share, ``part`` its whole content, ``where`` the place.
+    ``key`` names the core that all windows of the part share, ``part`` its whole content, ``where`` its place.
+    ``low`` is the first window's start in the piece and ``more`` how many follow; ``skip`` windows of the block,
+    which has ``span`` more than one, are missing before it.
     """
+    names = ["gram", "piece", "times", "origin", "start", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers(4 * length)
-        lowest = gram - length
+        powers = Powers()
+        first = np.arange(gram - length, 1, step)
+        last = np.minimum(first + step - 1, 0)
         for batch in batches:
-            held: list[list[np.ndarray]] = []
-            for row in batch.to_pylist():
-                data, offset = np.frombuffer(row["bytes"], np.uint8), row["offset"]
-                # Window starts of the blocks, from the anchor and then from the piece's first byte.
-                first = np.arange(lowest, 1, step)
-                last = np.minimum(first + step - 1, 0)
-                low, high = np.maximum(first + offset, 0), np.minimum(last + offset, len(data) - length)
-                some = low <= high
-                first, last, low, high = (x[some] for x in (first, last, low, high))
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
+                data, bounds = flat(rows.column("bytes"))
                 sums, more = prefix_sums(data, VALUES, powers), prefix_sums(data, OTHER, powers)
-                core, content = (
-                    range_hash(sums, a, b, powers) ^ (range_hash(more, a, b, powers) * np.uint64(3))
-                    for a, b in ((last + offset, first + offset + length), (low, high + length))
-                )
-                key = mixed(core + first.astype(np.uint64))
-                content = mixed(content + (low - first - offset).astype(np.uint64))
-                place = np.uint64(row["origin"] & (2**64 - 1)) + (row["start"] + low).astype(np.uint64) * np.uint64(BASE)
-                fixed = [np.full(len(low), row[c]) for c in ("gram", "piece", "times", "origin", "start", "offset")]
-                held.append([*fixed, key.view(np.int64), content.view(np.int64), mixed(place).view(np.int64), low, high - low])
-            if held:
+                base, size = bounds[:-1, None], np.diff(bounds)[:, None]
+                offset = rows.column("offset").to_numpy()[:, None]
+                low, high = np.maximum(first + offset, 0), np.minimum(last + offset, size - length)
+                used = low <= high
+                begin, end = (base + last + offset)[used], (base + first + offset + length)[used]
+                key = mixed(pair_hash(sums, more, begin, end, powers) + np.broadcast_to(first, used.shape)[used].astype(np.uint64))
+                skip = low - first - offset
+                part = pair_hash(sums, more, (base + low)[used], (base + high + length)[used], powers)
+                part = mixed(part + skip[used].astype(np.uint64))
+                which = np.nonzero(used)[0]
+                held = {n: rows.column(n).to_numpy()[which] for n in names}
+                columns = [
+                    *held.values(), key.view(np.int64), part.view(np.int64), place_of(held["origin"], held["start"] + low[used]),
+                    low[used], (high - low)[used], skip[used], np.broadcast_to(last - first, used.shape)[used],
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*held)],
-                    ["gram", "piece", "times", "origin", "start", "offset", "key", "part", "where", "low", "more"],
+                    [pa.array(c) for c in columns], [*names, "key", "part", "where", "low", "more", "skip", "span"]
                 )
 
     return run
@@ -257,22 +241,105 @@ def part_pieces(length: int, gram: int, step: int):
 
 PART = (
     "gram bigint, piece bigint, times bigint, origin bigint, start bigint, offset bigint, key bigint, part bigint,"
-    " where bigint, low bigint, more bigint"
+    " where bigint, low bigint, more bigint, skip bigint, span bigint"
 )
 
 
-def shard_spans(length: int):
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_windows(
-            group["bytes"].tolist(), group["times"].to_numpy(), group["origin"].to_numpy(), group["start"].to_numpy(), length
+def shard_spans(length: int, step: int):
+    """Parts of a shard -> (key, part, spans), spans seen from the part's first byte."""
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        times, origin, start, skip, more, span = (
+            table.column(n).to_numpy() for n in ("times", "origin", "start", "skip", "more", "span")
         )
-        spans = [spans_of(f, length) for f in found]
-        out = group[["key", "part"]].assign(spans=spans)
-        return out[[bool(x) for x in spans]]
+        data, bounds = flat(table.column("bytes"))
+        flags = shard_windows(data, bounds[:-1], times, origin, start, skip, more, span, length, step)
+        edges = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, a = np.nonzero(edges == 1)
+        _, b = np.nonzero(edges == -1)
+        spans = np.stack([a - skip[row], b - 1 - skip[row] + length], 1).ravel()
+        used, counts = np.unique(row, return_counts=True)
+        lists = pa.ListArray.from_arrays(np.concatenate(([0], 2 * np.cumsum(counts))).astype(np.int32), pa.array(spans, pa.int64()))
+        picked = table.take(pa.array(used))
+        return pa.table([picked.column("key"), picked.column("part"), lists], names=["key", "part", "spans"])
 
     return one
 
 
+def shard_windows(
+    data: np.ndarray, base: np.ndarray, times: np.ndarray, origin: np.ndarray, start: np.ndarray,
+    skip: np.ndarray, more: np.ndarray, span: np.ndarray, length: int, step: int,
+) -> np.ndarray:
+    """For each part and window of its block, whether the window also starts at another place.
+
+    Parts are cut once more into runs of NARROW windows. What all windows of a run share becomes one name, so that a
+    run is its few bytes before the name, the name and the few bytes after it; only runs whose shared bytes come
+    with different surroundings need to be told apart, and those strings go into the suffix array.
+    """
+    powers = Powers(len(data) + 1)
+    sums, also = prefix_sums(data, VALUES, powers), prefix_sums(data, OTHER, powers)
+    first = np.arange(0, step, NARROW)[None, :]
+    last = np.minimum(first + NARROW - 1, span[:, None])
+    low, high = np.maximum(first, skip[:, None]), np.minimum(last, (skip + more)[:, None])
+    used = low <= high
+    row, block = np.nonzero(used)
+    first, last, low, high = first[0][block], last[used], low[used], high[used]
+    at = base[row] - skip[row]
+    core = mixed(pair_hash(sums, also, at + last, at + first + length, powers) + (last - first).astype(np.uint64))
+    whole = pair_hash(sums, also, at + low, at + high + length, powers)
+    whole = mixed(mixed(whole + (low - first).astype(np.uint64)) + core)
+    _, one, of = np.unique(whole, return_index=True, return_inverse=True)
+    place = place_of(origin[row], start[row] + low - skip[row])
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(len(one)))
+    often = np.maximum.reduceat(times[row][order], cuts) > 1
+    often |= np.minimum.reduceat(place[order], cuts) != np.maximum.reduceat(place[order], cuts)
+    _, name, different = np.unique(core[one], return_inverse=True, return_counts=True)
+    column = np.arange(NARROW)[None, :]
+    inside = (column >= (low - first)[one][:, None]) & (column <= (high - first)[one][:, None])
+    flags = inside & often[:, None]
+    width = (last - first)[one]
+    for w in np.unique(width):
+        some = np.flatnonzero((different[name] > 1) & (width == w))
+        if len(some):
+            pick = one[some]
+            found = named_windows(
+                data, (at + first)[pick], (low - first)[pick], (high - first)[pick], name[some], int(w), length,
+                np.where(often[some], 2, 1), origin[row][pick], (start[row] - skip[row] + first)[pick],
+            )
+            flags[some, : w + 1] |= found
+    out = np.zeros((len(base), step + NARROW), bool)
+    out[row[:, None], first[:, None] + column] = flags[of]
+    return out[:, :step]
+
+
+def named_windows(
+    data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, name: np.ndarray, w: int, length: int,
+    times: np.ndarray, origin: np.ndarray, start: np.ndarray,
+) -> np.ndarray:
+    """Windows 0 to ``w`` of runs: flags of those that occur at another place too.
+
+    A window is its bytes before the name, the name's three digits and its bytes after it: w + 3 symbols.
+    """
+    column = np.arange(w)[None, :]
+    left = np.where(column >= low[:, None], data[np.minimum(at[:, None] + column, len(data) - 1)].astype(np.int64) + 2, 1)
+    right = np.where(
+        column < high[:, None], data[np.minimum(at[:, None] + length + column, len(data) - 1)].astype(np.int64) + 2, 1
+    )
+    digits = np.stack([name & 255, (name >> 8) & 255, (name >> 16) & 255], 1) + 258
+    s = np.concatenate([left, digits, right, np.ones((len(at), 1), np.int64)], 1)
+    size = s.shape[1]
+    s = np.append(s.ravel(), 0)
+    window = np.arange(w + 1)[None, :]
+    valid = np.zeros((len(at), size), bool)
+    valid[:, : w + 1] = (window >= low[:, None]) & (window <= high[:, None])
+    place = np.zeros((len(at), size), np.int64)
+    place[:, : w + 1] = place_of(np.repeat(origin, w + 1), (start[:, None] + window).ravel()).reshape(len(at), w + 1)
+    flags = repeated(s, np.append(valid.ravel(), False), np.append(place.ravel(), 0), np.append(np.repeat(times, size), 1), w + 3)
+    return flags[:-1].reshape(len(at), size)[:, : w + 1]
+
+
 def window_rows(length: int):
     """Parts -> one row per window with 128 bits of hash and the place it was cut from."""
 
@@ -325,7 +392,7 @@ def piece_spans(cut: DataFrame, length: int, gram: int, step: int, pieces: int,
     parts = written(
         rows.groupBy("key", "part").agg(
             F.when((F.max("times") > 1) | (F.min("where") != F.max("where")), 2).otherwise(1).cast("bigint").alias("times"),
-            F.min(F.struct("gram", "piece", "origin", "start", "low", "more")).alias("of"),
+            F.min(F.struct("gram", "piece", "origin", "start", "low", "more", "skip", "span")).alias("of"),
         ),
         "parts",
     )
@@ -339,14 +406,14 @@ def piece_spans(cut: DataFrame, length: int, gram: int, step: int, pieces: int,
         .select("key", "part", "times", "different", "of.*")
         .join(cut.select("gram", "piece", "bytes"), ["gram", "piece"])
         .select(
-            "key", "part", "times", "different", "origin", (F.col("start") + F.col("low")).alias("start"),
+            "key", "part", "times", "different", "origin", (F.col("start") + F.col("low")).alias("start"), "more", "skip", "span",
             F.substring("bytes", (F.col("low") + 1).cast("int"), (F.col("more") + length).cast("int")).alias("bytes"),
         ),
         "shared-parts",
     )
     shards = 1 + shared.count() * (length + step) // shard_bytes
     dealt = shared.filter(F.col("different") <= pieces).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    found = dealt.groupBy("shard").applyInPandas(shard_spans(length), "key bigint, part bigint, spans array<bigint>")
+    found = dealt.groupBy("shard").applyInArrow(shard_spans(length, step), "key bigint, part bigint, spans array<bigint>")
     frequent = shared.filter(F.col("different") > pieces)
     if not frequent.isEmpty():
         found = found.unionByName(window_spans(frequent, length))
