@@ -375,15 +375,15 @@ def format_datetime_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "prompt_template",
     """
-    SELECT conv_id, turn, 'Sort: ' || coalesce(text, 'None') || ' [' || coalesce(nullif(role, 'user'), 'None') || ']' AS prompt
+    SELECT conv_id, turn, 'Sort: ' || coalesce(text, 'None') || ' [' || coalesce(text, 'None') || ']' AS prompt
     FROM conversations
     """,
 )
 def prompt_template_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id", "turn", "text AS said", "nullif(role, 'user') AS who"
+        "conv_id", "turn", "text AS said"
     )
-    return prompt_text(df, "said", "Sort: {Input} [{who}]", "prompt").drop("said", "who")
+    return prompt_text(df, "said", "Sort: {Input} [{said}]", "prompt").drop("said")
 
 
 # ---- filters ----------------------------------------------------------------
