@@ -143,6 +143,13 @@ def agg_median_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("price", F.round("price", 4))
 
 
+@query("agg_median_date", "SELECT o_orderstatus, median(o_orderdate) AS middle FROM orders GROUP BY o_orderstatus")
+def agg_median_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarize(
+        table(spark, sf_dir, "orders"), rules(["o_orderstatus"], ("o_orderdate", "median", "middle"))
+    )
+
+
 @query("agg_std", "SELECT c_mktsegment, round(stddev_samp(c_acctbal), 4) AS spread FROM customer GROUP BY c_mktsegment")
 def agg_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = summarize(table(spark, sf_dir, "customer"), rules(["c_mktsegment"], ("c_acctbal", "std", "spread")))

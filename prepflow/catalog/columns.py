@@ -372,6 +372,16 @@ def format_datetime_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", "day", "full_text", "customer")
 
 
+@query("parse_datetime_short", "SELECT o_orderkey, date_trunc('day', o_orderdate) AS day FROM orders")
+def parse_datetime_short_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days and months of one digit or two."""
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "concat_ws('/', day(o_orderdate), month(o_orderdate), year(o_orderdate)) AS said"
+    )
+    df = convert_datetime(df, "said", format=CUSTOM, custom_format="%d/%m/%Y", output_column="day")
+    return df.select("o_orderkey", "day")
+
+
 @query(
     "prompt_template",
     """

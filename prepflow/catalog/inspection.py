@@ -147,6 +147,23 @@ def heatmap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("density", F.round("density", 2))
 
 
+@query(
+    "chart_histogram_date",
+    """
+    WITH ends AS (SELECT min(epoch(o_orderdate)) AS low, max(epoch(o_orderdate)) AS high FROM orders)
+    SELECT CAST(least(floor((epoch(o_orderdate) - low) / ((high - low) / 12.0)), 11) AS BIGINT) AS bin, count(*) AS rows
+    FROM orders, ends GROUP BY 1
+    """,
+)
+def histogram_date_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.histogram(table(spark, sf_dir, "orders"), "o_orderdate", 12).select("bin", "rows")
+
+
+@query("chart_heatmap_text", "SELECT o_orderpriority AS x_bin, o_orderstatus AS y_bin, count(*) AS density FROM orders GROUP BY 1, 2")
+def heatmap_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.heatmap(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
+
+
 @query("chart_bar_totals", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS total FROM lineitem GROUP BY 1, 2")
 def bar_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.bar_totals(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_linestatus")

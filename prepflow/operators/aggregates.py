@@ -15,7 +15,7 @@ from prepflow.operators.quantiles import (
     largest_group,
     selected_quantiles,
 )
-from prepflow.schema import col, cols, name_list, require_columns
+from prepflow.schema import MOMENT_TYPES, col, cols, data_type, name_list, require_columns
 
 CONCAT_SEPARATOR = ", "
 
@@ -74,7 +74,7 @@ def summarize(
     Everything but median and concat combines before the shuffle.  These two
     gather a group; when some group has more than ``group_limit`` rows they are
     computed slice by slice instead.  ``approx`` trades exact distinct counts
-    and medians for sketches.
+    and medians for sketches.  The median of dates and timestamps is a timestamp.
     """
     rules = list(actions) or legacy_rules(group_by, agg_column, agg_function, output_name)
     if not rules:
@@ -96,8 +96,21 @@ def summarize(
     gathering = [o for o in outputs if o[1] in GATHERING and not (approx and o[1] == "median")]
     apart = gathering if gathering and largest_group(df, keys) > group_limit else []
 
+    moments = [n for c, a, n in outputs if a == "median" and isinstance(data_type(df, c), MOMENT_TYPES)]
+
+    def dated(result: DataFrame) -> DataFrame:
+        """Medians of moments are found in seconds and turned back."""
+        back = {n: col(n).cast("timestamp").cast("timestamp_ntz") for n in moments}
+        return result.withColumns(back) if back else result
+
+    def number(column: str) -> Column:
+        moment = isinstance(data_type(df, column), MOMENT_TYPES)
+        return col(column).cast("timestamp").cast("double") if moment else col(column)
+
     def aggregate(column: str, action: str) -> Column:
         this = col(column)
+        if action == "median":
+            this = number(column)
         if approx and action in APPROXIMATE:
             return APPROXIMATE[action](this)
         if action in SIMPLE:
@@ -111,7 +124,7 @@ def summarize(
 
     together = [o for o in outputs if o not in apart]
     if not apart:
-        return df.groupBy(*cols(keys)).agg(*(aggregate(c, a).alias(n) for c, a, n in together))
+        return dated(df.groupBy(*cols(keys)).agg(*(aggregate(c, a).alias(n) for c, a, n in together)))
 
     group = keys or [EVERYTHING]
     source = df if keys else df.withColumn(EVERYTHING, F.lit(0))
@@ -121,13 +134,13 @@ def summarize(
     frames = [base]
     for column, action, name in apart:
         if action == "median":
-            part = selected_quantiles(source, group, column, {name: 0.5})
+            part = selected_quantiles(source.withColumn("__number", number(column)), group, "__number", {name: 0.5})
             part = null_safe_join_left(base.select(*cols(group)), part, group)
         else:
             part = sliced_concat(source, group, column, place_of(df, order, [column]), name)
         frames.append(part)
     wide = null_safe_join(frames, group)
-    return wide.select(*cols(keys), *cols(n for _, _, n in outputs))
+    return dated(wide.select(*cols(keys), *cols(n for _, _, n in outputs)))
 
 
 def null_safe_join_left(base: DataFrame, part: DataFrame, keys: list[str]) -> DataFrame:
