@@ -39,6 +39,9 @@ FUNCTIONS = TREES * LEVELS
 #: Rows of a region that one task compares; larger regions are split by deeper prefixes and then by blocks.
 REGION_ROWS = 20_000
 
+#: What tells regions, and blocks of very large ones, apart.
+REGION = ["tree", "region", "block"]
+
 
 def describe(size: int) -> Callable:
     """Of a text: number of shingles, 128-bit digest of the set, signature bytes ordered by tree and level."""
@@ -113,19 +116,37 @@ def least_agreement(percent: int) -> int:
     return int(np.floor(FUNCTIONS * s - 5.5 * (FUNCTIONS * s * (1 - s)) ** 0.5))
 
 
+def signatures(column: pd.Series) -> np.ndarray:
+    """Rows of FUNCTIONS values."""
+    return np.frombuffer(b"".join(column), ">u2").reshape(len(column), FUNCTIONS)
+
+
+def in_shards(regions: DataFrame, fn: Callable, schema: str, region_rows: int) -> DataFrame:
+    """Apply a function of many whole regions at a time: a shard holds about ``region_rows`` rows."""
+    shards = max(
+        int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-regions.count() // region_rows)
+    )
+    dealt = regions.withColumn("shard", F.pmod(F.xxhash64(*REGION), F.lit(shards)))
+    return dealt.groupBy("shard").applyInPandas(fn, schema)
+
+
 def neighbour_pairs(percent: int) -> Callable:
     """Pairs of neighbours in the order of a region's tree that may be linked."""
     least = least_agreement(percent)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(order=[s[2 * LEVELS * t : 2 * LEVELS * (t + 1)] for s, t in zip(group["sig"], group["tree"])])
-        group = group.sort_values(["order", "node"])
-        sigs = np.stack([np.frombuffer(s, ">u2") for s in group["sig"]])
-        node, n, m = (group[c].to_numpy() for c in ("node", "n", "m"))
+    def one(shard: pd.DataFrame) -> pd.DataFrame:
+        region = shard.groupby(REGION, sort=False).ngroup().to_numpy()
+        sigs = signatures(shard["sig"])
+        own = sigs.reshape(len(shard), TREES, LEVELS)[np.arange(len(shard)), shard["tree"].to_numpy()]
+        node = shard["node"].to_numpy()
+        order = np.lexsort([node, *own.T[::-1], region])
+        region, sigs, node = region[order], sigs[order], node[order]
+        n, m = shard["n"].to_numpy()[order], shard["m"].to_numpy()[order]
         most = np.minimum(m[1:], m[:-1])
-        fine = (100 * most >= percent * (n[1:] + n[:-1] - most)) & ((sigs[1:] == sigs[:-1]).sum(1) >= least)
+        fine = (region[1:] == region[:-1]) & (100 * most >= percent * (n[1:] + n[:-1] - most))
+        fine[fine] = (sigs[1:][fine] == sigs[:-1][fine]).sum(1) >= least
         a, b = node[1:][fine], node[:-1][fine]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return one
 
@@ -139,51 +160,52 @@ def first_shared_tree(sigs: np.ndarray, one: np.ndarray, tree: int) -> np.ndarra
 
 
 def open_nodes(percent: int) -> Callable:
-    """Nodes of a region with a pair between components that may be linked."""
+    """Rows of nodes that have a pair between components of their region that may be linked."""
     least = least_agreement(percent)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        sigs = np.stack([np.frombuffer(s, ">u2") for s in group["sig"]])
-        node, n, m, comp, query = (group[c].to_numpy() for c in ("node", "n", "m", "comp", "query"))
-        # Pairs of two nodes of the largest component need no look, so the others are compared with all.
-        kinds, counts = np.unique(comp, return_counts=True)
-        ask = np.flatnonzero(query & (comp != kinds[counts.argmax()]))
-        used = np.zeros(len(node), bool)
-        for i in ask:
-            other = np.flatnonzero((comp != comp[i]) & may_link(m, m[i], n, n[i], percent))
-            if len(other):
+    def one(shard: pd.DataFrame) -> pd.DataFrame:
+        sigs = signatures(shard["sig"])
+        n, m, comp, query, tree = (shard[c].to_numpy() for c in ("n", "m", "comp", "query", "tree"))
+        used = np.zeros(len(shard), bool)
+        for rows in shard.groupby(REGION, sort=False).indices.values():
+            # Pairs of two nodes of the largest component need no look, so the others are compared with all.
+            kinds, counts = np.unique(comp[rows], return_counts=True)
+            for i in rows[query[rows] & (comp[rows] != kinds[counts.argmax()])]:
+                other = rows[comp[rows] != comp[i]]
+                other = other[may_link(m[other], m[i], n[other], n[i], percent)]
                 other = other[agreements(sigs[other], sigs[i]) >= least]
-            if len(other):
-                other = other[first_shared_tree(sigs[other], sigs[i], int(group["tree"].iat[0]))]
-            if len(other):
-                used[i] = True
-                used[other] = True
-        return group.loc[used, ["tree", "region", "block", "node"]]
+                other = other[first_shared_tree(sigs[other], sigs[i], int(tree[i]))]
+                if len(other):
+                    used[i] = True
+                    used[other] = True
+        return shard.loc[used, [*REGION, "node"]]
 
     return one
 
 
 def region_links(percent: int) -> Callable:
-    """Links between components of a region, on full sets; one link for each two components that meet."""
+    """Links between components of each region, on full sets; one link for each two components that meet."""
     least = least_agreement(percent)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        node, n, m, comp = (group[c].to_numpy() for c in ("node", "n", "m", "comp"))
-        sigs = np.stack([np.frombuffer(s, ">u2") for s in group["sig"]])
-        sets = [np.asarray(s) for s in group["shingles"]]
-        comp = comp.copy()
+    def one(shard: pd.DataFrame) -> pd.DataFrame:
+        sigs = signatures(shard["sig"])
+        node, n, m, own = (shard[c].to_numpy() for c in ("node", "n", "m", "comp"))
+        sets = [np.asarray(s) for s in shard["shingles"]]
         links = []
-        for i in range(len(node)):
-            other = np.flatnonzero((comp != comp[i]) & may_link(m, m[i], n, n[i], percent))
-            if len(other):
-                other = other[agreements(sigs[other], sigs[i]) >= least]
-            for j in other:
-                if comp[j] == comp[i]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (n[i] + n[j] - both):
-                    links.append((node[i], node[j]))
-                    comp[comp == comp[j]] = comp[i]
+        for rows in shard.groupby(REGION, sort=False).indices.values():
+            comp = own[rows]
+            for k, i in enumerate(rows):
+                some = np.flatnonzero(comp != comp[k])
+                some = some[may_link(m[rows[some]], m[i], n[rows[some]], n[i], percent)]
+                some = some[agreements(sigs[rows[some]], sigs[i]) >= least]
+                for other in some:
+                    j = rows[other]
+                    if comp[other] == comp[k]:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        links.append((node[i], node[j]))
+                        comp = np.where(comp == comp[other], comp[k], comp)
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return one
@@ -290,9 +312,8 @@ def near_links(
         "live-nodes",
     )
     regions = written(with_regions(live, region_rows).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "members")
-    keys = ["tree", "region", "block"]
     pairs = written(
-        regions.groupBy(*keys).applyInPandas(neighbour_pairs(percent), "a bigint, b bigint").distinct(), "pairs"
+        in_shards(regions, neighbour_pairs(percent), "a bigint, b bigint", region_rows).distinct(), "pairs"
     )
     first = written(verified(pairs, sets, percent), "first-links")
     found = components(first)
@@ -319,14 +340,10 @@ def near_links(
         ).drop("main").unionByName(copies.filter(F.col("block") != home).withColumn("query", F.lit(True)))
     own = written(own, "asked")
     still = written(
-        own.groupBy(*keys).applyInPandas(open_nodes(percent), "tree int, region binary, block bigint, node bigint"), "open"
-    )
-    rest = (
-        own.join(still, [*keys, "node"], "left_semi")
-        .join(sets, "node")
-        .groupBy(*keys)
-        .applyInPandas(region_links(percent), "a bigint, b bigint")
+        in_shards(own, open_nodes(percent), "tree int, region binary, block bigint, node bigint", region_rows), "open"
     )
+    asked = written(own.join(still, [*REGION, "node"], "left_semi"), "open-rows").join(sets, "node")
+    rest = in_shards(asked, region_links(percent), "a bigint, b bigint", region_rows)
     return first.unionByName(written(rest, "more-links"))
 
 
