@@ -2,8 +2,8 @@
 
 Every document has ``TREES`` signatures of ``LEVELS`` min-hash values. Sorting the documents by each signature gives
 one order per tree; documents that share a prefix of ``LEAST`` values form a region, and within a region the
-neighbours in the order share the longest prefixes. Regions that are too large for a task are sorted deeper, by more
-values, until they are not.
+neighbours in the order share the longest prefixes. For neighbours, regions that are too large for a task are sorted
+deeper, by more values, until they are not; everything else looks at the regions themselves, dealt into blocks.
 
 1. Documents with the same set of shingles become one node.
 2. Nodes in no region with another node have no link. For the others the full sets are made, and the shingles that
@@ -36,7 +36,7 @@ LEVELS = 8
 LEAST = 4
 FUNCTIONS = TREES * LEVELS
 
-#: Rows of a region that one task compares; larger regions are split by deeper prefixes and then by blocks.
+#: Rows of a region that one task compares; larger regions are dealt into blocks.
 REGION_ROWS = 20_000
 
 #: What tells regions, and blocks of very large ones, apart.
@@ -78,27 +78,33 @@ def by_tree(nodes: DataFrame) -> DataFrame:
 
 
 def with_regions(nodes: DataFrame, region_rows: int) -> DataFrame:
-    """Rows (tree, region, node columns) of all regions of two or more nodes, deep enough for a task.
+    """Rows (tree, region, blocks, node columns) of all regions of two or more nodes.
 
-    A region at full depth that is still too large is dealt into blocks; ``blocks`` tells in how many.
+    ``blocks`` tells how many tasks' rows a region has.
     """
-    rows = by_tree(nodes).withColumn("region", prefix(LEAST))
-    depth = LEAST
-    done = None
-    while True:
-        counts = written(rows.groupBy("tree", "region").count().filter("count > 1"), "regions")
-        rows = rows.join(counts, ["tree", "region"])
-        small = rows.filter(F.col("count") <= region_rows).withColumn("blocks", F.lit(1)).drop("count")
-        done = small if done is None else done.unionByName(small)
-        large = counts.filter(F.col("count") > region_rows)
-        if large.isEmpty():
-            return done
-        rows = rows.filter(F.col("count") > region_rows)
-        if depth == LEVELS:
-            blocks = F.ceil(F.col("count") / region_rows).cast("int")
-            return done.unionByName(rows.withColumn("blocks", blocks).drop("count"))
+    return with_counts(by_tree(nodes).withColumn("region", prefix(LEAST)), region_rows)
+
+
+def with_counts(rows: DataFrame, region_rows: int) -> DataFrame:
+    counts = written(rows.groupBy("tree", "region").count().filter("count > 1"), "regions")
+    blocks = F.ceil(F.col("count") / region_rows).cast("int")
+    return rows.drop("blocks").join(counts, ["tree", "region"]).withColumn("blocks", blocks).drop("count")
+
+
+def for_neighbours(regions: DataFrame, region_rows: int) -> DataFrame:
+    """The rows with a ``block``, large regions sorted deeper until a task can hold them; rows alone there are left out.
+
+    A region at full depth that is still too large is dealt into blocks. Nothing is decided here but who is whose
+    neighbour: what is not compared now is compared in the region itself.
+    """
+    done = regions.filter("blocks = 1")
+    rows, depth = regions.filter("blocks > 1"), LEAST
+    while depth < LEVELS and not rows.isEmpty():
         depth += 1
-        rows = rows.drop("count").withColumn("region", prefix(depth))
+        rows = written(with_counts(rows.withColumn("region", prefix(depth)), region_rows), "deeper")
+        done = done.unionByName(rows.filter("blocks = 1"))
+        rows = rows.filter("blocks > 1")
+    return done.unionByName(rows).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
 
 def may_link(shared: np.ndarray, own: int, sizes: np.ndarray, mine: int, percent: int) -> np.ndarray:
@@ -311,14 +317,18 @@ def near_links(
         .select("node", "n", "m", "sig"),
         "live-nodes",
     )
-    regions = written(with_regions(live, region_rows).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "members")
+    regions = written(with_regions(live, region_rows), "members")
+    ordered = for_neighbours(regions, region_rows)
     pairs = written(
-        in_shards(regions, neighbour_pairs(percent), "a bigint, b bigint", region_rows).distinct(), "pairs"
+        in_shards(ordered, neighbour_pairs(percent), "a bigint, b bigint", region_rows).distinct(), "pairs"
     )
     first = written(verified(pairs, sets, percent), "first-links")
     found = components(first)
     placed = written(
-        regions.join(found, "node", "left").withColumn("comp", F.coalesce(F.col("comp"), F.col("node"))), "placed"
+        regions.join(found, "node", "left")
+        .withColumn("comp", F.coalesce(F.col("comp"), F.col("node")))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))),
+        "placed",
     )
     mixed = placed.groupBy("tree", "region").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")

@@ -141,6 +141,23 @@ def test_near_groups(spark, rows):
     assert sorted(map(tuple, out)) == near_brute(texts, 3, 85)
 
 
+def signed(same, rng):
+    """Signature bytes of random values but for the given (tree, level) -> value."""
+    sig = rng.integers(0, 1 << 16, (near_dedup.TREES, near_dedup.LEVELS))
+    for (tree, level), value in same.items():
+        sig[tree, level] = value
+    return bytearray(sig.astype(">u2").tobytes())
+
+
+def test_near_regions_keep_pairs_parted_deeper(spark):
+    """A region larger than a task may hold keeps all rows, as later trees count on it."""
+    rng = np.random.default_rng(2)
+    same = {(t, k): 7 for t in (3, 5) for k in range(near_dedup.LEAST)}
+    nodes = spark.createDataFrame([(i, signed(same, rng)) for i in range(9)], "node bigint, sig binary")
+    found = near_dedup.with_regions(nodes, 4).groupBy("tree", "region").count().collect()
+    assert sorted((r.tree, r["count"]) for r in found) == [(3, 9), (5, 9)]
+
+
 def test_near_edges(spark):
     texts = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A B C D E"), (3, None)]
     out = sorted(near_dedup.near_groups(docs_of(spark, texts)).collect(), key=lambda r: (r.doc_id or 0, r.kept))
