@@ -107,6 +107,36 @@ def for_neighbours(regions: DataFrame, region_rows: int) -> DataFrame:
     return done.unionByName(rows).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
 
+def in_blocks(split: DataFrame, region_rows: int) -> DataFrame:
+    """Rows of large regions, in blocks in which all pairs but those inside the region's largest component meet.
+
+    Every node has one home block. The nodes outside of the largest component are dealt into parts, and each part is
+    asked in every block; the new ``block`` is a block with a part, of about twice ``region_rows`` rows at most.
+    """
+    sizes = written(split.groupBy("tree", "region", "comp").count(), "region-components")
+    largest = sizes.groupBy("tree", "region").agg(
+        F.max(F.struct("count", "comp")).alias("most"), F.sum("count").alias("rows")
+    )
+    parts = F.ceil((F.col("rows") - F.col("most.count")) / region_rows)
+    largest = written(largest.select("tree", "region", F.col("most.comp").alias("main"), parts.alias("parts")), "largest")
+    rows = split.join(largest, ["tree", "region"]).withColumn("outside", F.col("comp") != F.col("main"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+
+    def up_to(count: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1))
+
+    at_home = rows.withColumn("with", up_to(F.col("parts"))).withColumn("home", F.lit(True))
+    at_home = at_home.withColumn("query", F.col("outside") & (F.col("with") == F.col("part")))
+    abroad = rows.filter("outside").withColumn("with", F.col("part")).withColumn("home", F.lit(False))
+    abroad = abroad.withColumn("away", up_to(F.col("blocks"))).filter(F.col("away") != F.col("block"))
+    abroad = abroad.withColumn("block", F.col("away")).drop("away").withColumn("query", F.lit(True))
+    return (
+        at_home.unionByName(abroad)
+        .withColumn("block", F.col("block") * F.col("parts") + F.col("with"))
+        .drop("main", "parts", "outside", "part", "with")
+    )
+
+
 def may_link(shared: np.ndarray, own: int, sizes: np.ndarray, mine: int, percent: int) -> np.ndarray:
     """Whether counts allow a link: an intersection has at most the smaller number of shared shingles."""
     most = np.minimum(shared, own)
@@ -171,13 +201,18 @@ def open_nodes(percent: int) -> Callable:
 
     def one(shard: pd.DataFrame) -> pd.DataFrame:
         sigs = signatures(shard["sig"])
-        n, m, comp, query, tree = (shard[c].to_numpy() for c in ("n", "m", "comp", "query", "tree"))
+        n, m, comp, tree = (shard[c].to_numpy() for c in ("n", "m", "comp", "tree"))
+        query, home, blocks = (shard[c].to_numpy() for c in ("query", "home", "blocks"))
         used = np.zeros(len(shard), bool)
         for rows in shard.groupby(REGION, sort=False).indices.values():
             # Pairs of two nodes of the largest component need no look, so the others are compared with all.
-            kinds, counts = np.unique(comp[rows], return_counts=True)
-            for i in rows[query[rows] & (comp[rows] != kinds[counts.argmax()])]:
-                other = rows[comp[rows] != comp[i]]
+            # In a block, it is the region's largest one that counts, which is not asked there.
+            asked, home_rows = rows[query[rows]], rows[home[rows]]
+            if blocks[rows[0]] == 1:
+                kinds, counts = np.unique(comp[rows], return_counts=True)
+                asked = asked[comp[asked] != kinds[counts.argmax()]]
+            for i in asked:
+                other = home_rows[comp[home_rows] != comp[i]]
                 other = other[may_link(m[other], m[i], n[other], n[i], percent)]
                 other = other[agreements(sigs[other], sigs[i]) >= least]
                 other = other[first_shared_tree(sigs[other], sigs[i], int(tree[i]))]
@@ -335,19 +370,10 @@ def near_links(
     ).filter("low <> high and rows > 2")
     mixed = written(mixed.select("tree", "region"), "mixed-regions")
     asked = placed.join(mixed, ["tree", "region"])
-    own = asked.withColumn("query", F.col("blocks") == 1)
-    # A region of several blocks: its nodes outside of the largest component are also asked in every other block.
+    own = asked.filter("blocks = 1").withColumn("query", F.lit(True)).withColumn("home", F.lit(True))
     split = asked.filter("blocks > 1")
     if not split.isEmpty():
-        sizes = split.groupBy("tree", "region", "comp").count()
-        largest = sizes.groupBy("tree", "region").agg(F.max(F.struct("count", "comp")).alias("most"))
-        largest = written(largest.select("tree", "region", F.col("most.comp").alias("main")), "largest")
-        outside = split.join(largest, ["tree", "region"]).filter("comp <> main").drop("main")
-        copies = outside.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)))
-        home = F.pmod(F.xxhash64("node"), F.col("blocks"))
-        own = own.join(largest, ["tree", "region"], "left").withColumn(
-            "query", F.col("query") | F.coalesce(F.col("comp") != F.col("main"), F.lit(False))
-        ).drop("main").unionByName(copies.filter(F.col("block") != home).withColumn("query", F.lit(True)))
+        own = own.unionByName(in_blocks(split, region_rows))
     own = written(own, "asked")
     still = written(
         in_shards(own, open_nodes(percent), "tree int, region binary, block bigint, node bigint", region_rows), "open"

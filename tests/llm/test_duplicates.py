@@ -7,6 +7,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,31 @@ def test_near_regions_keep_pairs_parted_deeper(spark):
     assert sorted((r.tree, r["count"]) for r in found) == [(3, 9), (5, 9)]
 
 
+def test_near_blocks_of_two_large_components(spark):
+    """In a block, the largest component is the region's, not the block's; all pairs between the two are looked at."""
+    same = bytearray(np.full(near_dedup.FUNCTIONS, 7, ">u2").tobytes())
+    shard = pd.DataFrame({
+        "tree": 0, "region": b"r", "block": 0, "node": range(9), "n": 50, "m": 50, "sig": [bytes(same)] * 9,
+        "comp": [1] * 6 + [2] * 3, "query": [True] * 6 + [False] * 3, "home": True, "blocks": 3,
+    })
+    assert sorted(near_dedup.open_nodes(85)(shard)["node"]) == list(range(9))
+    rows = [(0, bytearray(b"r"), i, 50, 50, same, 1 if i < 30 else 2, 7) for i in range(50)]
+    split = spark.createDataFrame(
+        rows, "tree int, region binary, node bigint, n bigint, m bigint, sig binary, comp bigint, blocks int"
+    ).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    met = near_dedup.in_blocks(split, 8).collect()
+    groups = {}
+    for r in met:
+        groups.setdefault(r.block, []).append(r)
+    pairs = {(i.node, j.node) for g in groups.values() for i in g if i.query for j in g if j.home}
+    assert {(i, j) for i in range(30, 50) for j in range(30)} <= pairs
+    assert all(len({r.node for r in g}) == len(g) for g in groups.values())
+    open_ = near_dedup.in_shards(
+        near_dedup.in_blocks(split, 8), near_dedup.open_nodes(85), "tree int, region binary, block bigint, node bigint", 8
+    )
+    assert {r.node for r in open_.collect()} == set(range(50))
+
+
 def test_near_edges(spark):
     texts = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A B C D E"), (3, None)]
     out = sorted(near_dedup.near_groups(docs_of(spark, texts)).collect(), key=lambda r: (r.doc_id or 0, r.kept))
