@@ -21,6 +21,9 @@ cloudpickle.register_pickle_by_value(prepflow.llm)
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Fixed value: draws the ids of samples.
+SAMPLE_SEED = 5
+
 #: Fixed value: characters between words.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -96,14 +99,16 @@ def map_texts(
 def sample_ids(labelled: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``per_label`` ids of each label as (doc_id, label), the same on every run.
 
-    Ids are dealt into ``per_label`` buckets by a hash and the smallest of each is taken, so that one partial
-    aggregation draws the sample. Rows with a null id or label are left out.
+    Ids are dealt into ``per_label`` buckets by a hash and the one with the smallest second hash of each is taken,
+    wherever it stands in the order of ids, so that one partial aggregation draws the sample. Rows with a null id or
+    label are left out.
     """
+    first = F.min(F.struct(F.xxhash64(id_col, F.lit(SAMPLE_SEED)).alias("hash"), F.col(id_col).alias("id")))
     return (
         labelled.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(label_col).alias("label"), F.pmod(F.xxhash64(id_col), F.lit(per_label)).alias("bucket"))
-        .agg(F.min(id_col).alias("doc_id"))
-        .select("doc_id", "label")
+        .agg(first.alias("first"))
+        .select(F.col("first.id").alias("doc_id"), "label")
     )
 
 

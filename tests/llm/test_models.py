@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prepflow.llm import language, quality, toxicity
+from prepflow.llm import common, language, quality, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, score string, lang_pred string"
 WORDS = {
@@ -142,3 +142,13 @@ def test_isotonic():
 @pytest.mark.parametrize("text", ["", "...", "A" * 10, "a b" * 9])
 def test_features_are_finite(text):
     assert np.isfinite(toxicity.features(text, {"a ": 1.0})).all()
+
+
+def test_samples_spread_over_ids(spark):
+    """Not the lowest ids of a label: every tenth of the ids is in the sample in about its share."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
+    found = common.sample_ids(rows, "label", 200).collect()
+    assert len({r.doc_id for r in found}) == len(found) == 400
+    tenths = np.bincount([r.doc_id // 2000 for r in found], minlength=10)
+    assert tenths.min() >= 20 and tenths.max() <= 65
+    assert sorted(found) == sorted(common.sample_ids(rows.repartition(7), "label", 200).collect())
