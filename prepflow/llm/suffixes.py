@@ -139,7 +139,7 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, breaks: np.ndarray, most: int
     """Length shared by each suffix and the one before it in the order, by position, exact below ``most``.
 
     A suffix whose predecessor continues its left neighbour's match shares one character less than that
-    neighbour; only the others, and those after ``breaks``, are compared, eight characters at a time.
+    neighbour; only the others, and those after ``breaks``, are compared, six characters below 1024 at a time.
     """
     n = len(s)
     before = np.full(n, -1, np.int64)
@@ -149,19 +149,19 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, breaks: np.ndarray, most: int
     at = np.flatnonzero(compare & (before >= 0))
     longer = np.concatenate((s, np.zeros(most + 16, s.dtype))).astype(np.uint64)
     word = longer[: n + most + 8].copy()
-    shift = np.uint64(9)
-    for k in range(1, 7):
+    shift = np.uint64(10)
+    for k in range(1, 6):
         word |= longer[k : n + most + 8 + k] << (shift * np.uint64(k))
     shared = np.zeros(n, np.int64)
     open_ = at
     while len(open_):
         i, j = open_ + shared[open_], before[open_] + shared[open_]
         same = word[np.minimum(i, n)] == word[np.minimum(j, n)]
-        same &= (np.maximum(i, j) + 7 <= n) & (shared[open_] < most)
-        shared[open_[same]] += 7
+        same &= (np.maximum(i, j) + 6 <= n) & (shared[open_] < most)
+        shared[open_[same]] += 6
         open_ = open_[same]
     open_ = at
-    for _ in range(7):
+    for _ in range(6):
         i, j = open_ + shared[open_], before[open_] + shared[open_]
         same = (np.maximum(i, j) < n) & (shared[open_] < most)
         same &= s[np.minimum(i, n - 1)] == s[np.minimum(j, n - 1)]

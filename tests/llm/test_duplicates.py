@@ -258,6 +258,20 @@ def test_suffix_array(monkeypatch, alphabet):
             assert shared[b] == m
 
 
+def test_common_prefixes_of_large_symbols():
+    """Neighbouring symbols that differ in the last bit only, up to the largest digit of a name."""
+    rng = np.random.default_rng(1)
+    for pair in ((512, 258, 512, 259), (513, 513, 512, 512), (511, 2, 513, 1)):
+        same = rng.integers(1, 514, 12)
+        s = np.concatenate((same, pair[:2], same, [5], same, pair[2:], same, [6], [0]))
+        sa = suffixes.suffix_array(s)
+        text = s.tolist()
+        assert sa.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        shared = suffixes.common_prefixes(s, sa, np.zeros(len(s), bool), 1000)
+        for a, b in zip(sa, sa[1:]):
+            assert shared[b] == next(m for m in range(len(text)) if text[a + m] != text[b + m])
+
+
 def test_masks_leave_no_pattern():
     """Every allowed pattern of substitutions leaves a stretch in which some mask's words are all the same."""
     import itertools
