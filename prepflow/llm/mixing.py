@@ -3,10 +3,12 @@
 Every source has a target number of words. The copies a document is expected to get are target / source size;
 their whole part is allocated for certain. The rest is a fixed-size sample: each document draws a uniform number
 from its id and text, its rank is the draw's odds divided by the odds of its inclusion, and the lowest ranks are
-taken until the words that are left to the source are used up.
+taken until the words that are left to the source are used up. A document that does not fit what is left is passed
+over, and those behind it are still taken as long as they fit.
 
 The cut is found without bringing a source together: words are summed by source and rank interval, and only
-the interval in which the budget ends is ordered row by row.
+the interval in which the budget ends is ordered row by row. That is repeated with what is left of the budget over
+the documents that still fit it.
 """
 
 from __future__ import annotations
@@ -24,9 +26,8 @@ MAX_COPIES = 3
 #: Rank intervals per source; the interval of the cut holds about 1 / INTERVALS of a source's rows.
 INTERVALS = 1 << 16
 
-#: How near to its target, as a share of it, a source is left alone, and how many documents it is filled up with.
+#: How near to its target, as a share of it, a source is left alone.
 CLOSE = 0.001
-ROUNDS = 4
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -67,6 +68,49 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
     )
 
 
+def candidates(drawn: DataFrame, left: DataFrame, fits: Column) -> DataFrame:
+    """The rows not yet drawn that ``fits`` what is left to their source."""
+    return drawn.filter("extra = 0 and rank is not null").join(left, F.col("s").eqNullSafe(F.col("b"))).filter(fits)
+
+
+def cuts(drawn: DataFrame, left: DataFrame, fits: Column) -> DataFrame | None:
+    """(b, left, cut_slot, before) of each source with candidates; cut_slot is null if all fit. None without any."""
+    slots = written(candidates(drawn, left, fits).groupBy("s", "slot").agg(F.sum("size").alias("words")), "slots")
+    if slots.isEmpty():
+        return None
+    before = Window.partitionBy("s").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left"))
+    return written(
+        slots.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        .join(left, F.col("s").eqNullSafe(F.col("b")))
+        .groupBy("b", "left")
+        .agg(F.min(F.when(ends, F.col("slot"))).alias("cut_slot"), F.min(F.when(ends, F.col("before"))).alias("before")),
+        "cuts",
+    )
+
+
+def taken_up_to(drawn: DataFrame, cut: DataFrame, fits: Column) -> DataFrame:
+    """``drawn`` with ``extra`` set for the candidates that come before the first one which does not fit."""
+    placed = drawn.join(cut, F.col("s").eqNullSafe(F.col("b")), "left")
+    open_ = F.col("b").eqNullSafe(F.col("s")) & F.col("left").isNotNull() & (F.col("extra") == 0) & F.col("rank").isNotNull() & fits
+    placed = placed.withColumn("open", F.coalesce(open_, F.lit(False)))
+    at_edge = F.col("open") & F.coalesce(F.col("slot") == F.col("cut_slot"), F.lit(False))
+    inner = Window.partitionBy("s").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = placed.filter(at_edge).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    edge = edge.withColumn("extra", (F.col("ahead") + F.col("size") <= F.col("left")).cast("long"))
+    # Without a cut the budget is never reached: every candidate is taken.
+    ahead = F.col("open") & (F.col("cut_slot").isNull() | (F.col("slot") < F.col("cut_slot")))
+    rest = placed.filter(~at_edge).withColumn("extra", F.col("extra") + ahead.cast("long"))
+    return edge.select(*drawn.columns).unionByName(rest.select(*drawn.columns))
+
+
+def what_is_left(drawn: DataFrame) -> DataFrame:
+    """(b, left, goal) of each source."""
+    return drawn.groupBy(F.col("s").alias("b")).agg(
+        (F.max("budget") - F.sum(F.col("size") * F.col("extra"))).alias("left"), F.max("target").alias("goal")
+    )
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -134,52 +178,31 @@ def mix(
         F.max("target").alias("target"), F.sum(F.col("size") * F.col("whole")).alias("certain")
     )
     budget = certain.select(F.col("s").alias("b"), (F.col("target") - F.col("certain")).alias("budget"))
-    slots = ranked.filter("rank is not null").groupBy("s", "slot").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("s").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    cut = written(
-        slots.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        .join(budget, F.col("s").eqNullSafe(F.col("b")))
-        .filter((F.col("before") < F.col("budget")) & (F.col("before") + F.col("words") >= F.col("budget")))
-        .select("b", F.col("slot").alias("cut_slot"), "before", "budget"),
-        "cuts",
-    )
-    placed = ranked.join(cut, F.col("s").eqNullSafe(F.col("b")), "left")
-    edge = placed.filter("slot = cut_slot")
-    inner = Window.partitionBy("s").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    edge = edge.withColumn("extra", (F.col("ahead") + F.col("size") <= F.col("budget")).cast("long"))
-    # Without a cut the budget is never reached: every document with a rank is taken.
-    rest = placed.filter("slot is null or cut_slot is null or slot <> cut_slot").withColumn(
-        "extra",
-        F.when(F.col("slot").isNull(), 0)
-        .when(F.col("cut_slot").isNull(), (F.col("target") > 0).cast("long"))
-        .otherwise((F.col("slot") < F.col("cut_slot")).cast("long")),
-    )
-    columns = ["row", "doc_id", "source", "size", "source_size", "target", "whole", "extra", "s", "rank", "budget"]
-    drawn = written(edge.select(*columns).unionByName(rest.select(*columns)), "drawn")
-    # What is left of a budget goes to the one document behind the cut whose size fits best, if that is nearer;
-    # sources that are still more than CLOSE of their target away get up to ROUNDS such documents.
-    for _ in range(ROUNDS):
-        left = drawn.filter("budget is not null").groupBy("s").agg(
-            (F.max("budget") - F.sum(F.col("size") * F.col("extra"))).alias("left"), F.max("target").alias("goal")
-        )
-        left = left.filter(F.abs("left") > F.col("goal") * CLOSE).select(F.col("s").alias("b"), "left")
-        fit = F.struct(F.abs(F.col("size") - F.col("left")).alias("miss"), "rank", "row")
-        filler = written(
-            drawn.filter("extra = 0 and rank is not null")
-            .join(left, F.col("s").eqNullSafe(F.col("b")))
-            .groupBy("s")
-            .agg(F.min(fit).alias("fit"), F.max("left").alias("left"))
-            .filter(F.col("fit.miss") < F.abs("left"))
-            .select(F.col("fit.row").alias("filler")),
-            "fillers",
-        )
-        if filler.isEmpty():
+    left = written(budget.withColumnRenamed("budget", "left"), "budgets")
+    drawn = ranked.join(budget, F.col("s").eqNullSafe(F.col("b")), "left").drop("b").withColumn("extra", F.lit(0).cast("long"))
+    # Documents without words fit anywhere; they are drawn once, up to the first cut.
+    fits = (F.col("target") > 0) & ((F.col("size") == 0) | (F.col("size") <= F.col("left")))
+    while True:
+        cut = cuts(drawn, left, fits)
+        if cut is None:
             break
-        more = F.col("extra") + F.col("filler").isNotNull().cast("long")
-        drawn = written(
-            drawn.join(filler, F.col("row") == F.col("filler"), "left").withColumn("extra", more).drop("filler"), "drawn"
-        )
+        drawn = written(taken_up_to(drawn, cut, fits), "drawn")
+        left = written(what_is_left(drawn).filter(F.col("left") > F.col("goal") * CLOSE).select("b", "left"), "left")
+        fits = (F.col("size") > 0) & (F.col("size") <= F.col("left"))
+    # What is left of a budget goes to the one document whose size fits best, if that is nearer.
+    left = what_is_left(drawn).filter(F.abs("left") > F.col("goal") * CLOSE).select("b", "left")
+    fit = F.struct(F.abs(F.col("size") - F.col("left")).alias("miss"), "rank", "row")
+    filler = written(
+        drawn.filter("extra = 0 and rank is not null")
+        .join(left, F.col("s").eqNullSafe(F.col("b")))
+        .groupBy("s")
+        .agg(F.min(fit).alias("fit"), F.max("left").alias("left"))
+        .filter(F.col("fit.miss") < F.abs("left"))
+        .select(F.col("fit.row").alias("filler")),
+        "fillers",
+    )
+    more = F.col("extra") + F.col("filler").isNotNull().cast("long")
+    drawn = drawn.join(filler, F.col("row") == F.col("filler"), "left").withColumn("extra", more)
     return drawn.withColumn("copies", F.col("whole") + F.col("extra")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )

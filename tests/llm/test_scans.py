@@ -167,6 +167,20 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_passes_over_long_documents(spark):
+    """One document of a third of its source may stand at the cut; the target is still met to a short document."""
+    rng = random.Random(6)
+    rows, sources = [], [f"s{k:02}" for k in range(40)]
+    for s in sources:
+        sizes = [rng.randrange(20, 61) for _ in range(100)]
+        rows += [(len(rows) + k, "w " * n, s) for k, n in enumerate([*sizes, sum(sizes) // 2])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix(docs, weights=(1.0, 3.0)).collect()
+    for s in sources:
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 30
+
+
 def test_mix_follows_preferences(spark):
     """Documents that are liked more are taken more often, and the target still holds."""
     rows = [(i, "w " * 10, "a" if i < 2000 else "b") for i in range(4000)]
