@@ -13,7 +13,7 @@ deeper, by more values, until they are not; everything else looks at the regions
    signatures rule out are compared on full sets, inside the region's task. Only links leave the task.
 
 A pair at the least similarity shares a region in some tree with probability 1 - (1 - s^4)^20: 0.9999996 at 0.85,
-0.99997 at 0.8. Signatures rule a pair out when its agreement is 5.5 standard errors below the least similarity.
+0.99997 at 0.8, in regions of any size. Signatures rule a pair out when its agreement is 5.5 standard errors below the least similarity.
 """
 
 from __future__ import annotations
