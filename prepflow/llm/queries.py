@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import decontaminate, exact_dedup, language, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity
+from prepflow.llm import codebooks, decontaminate, exact_dedup, language, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity
 from prepflow.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.coded(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -158,6 +162,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL.strip(), "op4_decontaminate": OP4_SQL.strip()}
