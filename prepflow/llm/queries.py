@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import codebooks, decontaminate, exact_dedup, language, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity
+from prepflow.llm import codebooks, decontaminate, lexical, exact_dedup, language, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity
 from prepflow.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +151,38 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.coded(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+#: Brute force: every term of every item against every posting, then the 50 best per item.
+OP13_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents),
+st AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d),
+dl AS (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+sc AS (
+    SELECT q.item_id, tf.r,
+           sum(CAST(floor(1000 * ln((2 * st.n_docs + 2) / (2 * df.df + 1))) AS BIGINT)
+               * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (50 + (50 * dl.n * st.n_docs) // st.total)))) AS score
+    FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (r) CROSS JOIN st
+    GROUP BY q.item_id, tf.r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM (SELECT item_id, doc_id, score,
+             row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+      FROM sc JOIN dl USING (r) WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -163,6 +195,11 @@ QUERIES: dict[str, Query] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op12_vector_codes": op12_vector_codes,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL.strip(), "op4_decontaminate": OP4_SQL.strip()}
+SQL: dict[str, str] = {
+    "op1_exact_dedup": OP1_SQL.strip(),
+    "op4_decontaminate": OP4_SQL.strip(),
+    "op13_lexical_search": OP13_SQL.strip(),
+}
