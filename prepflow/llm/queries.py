@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import codebooks, decontaminate, lexical, exact_dedup, language, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity
+from prepflow.llm import codebooks, decontaminate, lexical, lm, exact_dedup, language, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity
 from prepflow.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(documents(spark, sf_dir), remainder(F.col("doc_id"), 10) != 0)
+    return scored.select(
+        "doc_id",
+        (remainder(F.col("doc_id"), 10) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.coded(table(spark, sf_dir, "embeddings"))
 
