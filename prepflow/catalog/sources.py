@@ -31,6 +31,20 @@ def read_csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, f"{path}/*.csv", source_file=False, same_columns=True)
 
 
+@query(
+    "read_csv_quoted_breaks",
+    """
+    SELECT doc_id, CASE WHEN text IN ('', 'NA', 'NaN', 'null') THEN NULL ELSE text END AS text, source
+    FROM documents
+    """,
+)
+def read_csv_quoted_breaks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, whose texts hold line breaks, through delimited text: records are found in parallel."""
+    path = scratch_path(spark, "csv-breaks")
+    write_table(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path, "csv")
+    return read_csv(spark, f"{path}/*.csv", source_file=False, same_columns=True, profile=False)
+
+
 @query("infer_types", LINEITEM_WIDE)
 def infer_types_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")

@@ -10,6 +10,8 @@ from prepflow.schema import GuardError, semantic_types
 from prepflow.sources import jdbc
 from prepflow.sources.files import (
     format_of,
+    has_quoted_breaks,
+    quote_parity_lines,
     read_any,
     read_csv,
     read_jsonl,
@@ -323,3 +325,41 @@ def test_parse_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("bad")
     with pytest.raises(Exception, match="failed to read .*b.txt"):
         parse_files(spark, str(tmp_path / "*.txt"), words, "line int, text string").collect()
+
+
+def test_quoted_breaks_across_many_splits(spark, tmp_path):
+    """Records spanning lines and split edges are put together in parallel, as Python's csv module reads them."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(3)
+    pieces = ["a", "b c", '"', "\n", ",", "x\ny", '""', "\r\n", "z"]
+    records = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))) for i in range(400)]
+    buffer = io.StringIO()
+    writer = csv.writer(buffer, lineterminator="\n")
+    writer.writerow(["i", "s"])
+    writer.writerows(records)
+    path = tmp_path / "many.csv"
+    path.write_text(buffer.getvalue(), encoding="utf-8")
+    expected = sorted((int(i), s.replace("\r\n", "\n") or None) for i, s in list(csv.reader(io.StringIO(buffer.getvalue())))[1:])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        df = read_csv(spark, str(path), source_file=False)
+        got = sorted((r.i, r.s) for r in df.collect())
+        splits = quote_parity_lines(spark, str(path)).select("block").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert splits > 5
+    assert got == expected
+
+
+def test_quoted_break_auto_and_plain(spark, write_csv):
+    broken = write_csv("auto.csv", 'a,b\n"one\ntwo",1\n"three",2\n')
+    assert rows(read_csv(spark, broken, source_file=True), "b") == [("one\ntwo", 1, "auto.csv"), ("three", 2, "auto.csv")]
+    plain = write_csv("plain.csv", 'a,b\n"one",1\n')
+    assert not has_quoted_breaks(spark, plain)
+    wrong = write_csv("wrong.csv", 'a,b\n"one\ntwo",1,3\n')
+    with pytest.raises(Exception):
+        read_csv(spark, wrong, source_file=False).collect()
