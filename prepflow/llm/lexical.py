@@ -41,7 +41,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 50
 
 #: Index parameters: folded coordinates, signature bits, documents a block aims at, salts of the two-step windows.
-BUCKETS = 64
+BUCKETS = 16
 BITS = 16
 BLOCK = 64
 SALTS = 64
@@ -83,11 +83,9 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
     ``postings`` (term, block, row) and ``blocks`` (term, block, top: array of bucket maxima).
     """
     spark = docs.sparkSession
-    base = written(
-        docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col)).alias("terms")).withColumn(
-            "row", F.monotonically_increasing_id()
-        ),
-        "lex-rows",
+    # Row numbers of a scan are the same on every evaluation of it, so the tokenised texts are not written.
+    base = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col)).alias("terms")).withColumn(
+        "row", F.monotonically_increasing_id()
     )
     stats = base.agg(
         F.count(F.when(F.size("terms") > 0, 1)).alias("n_docs"), F.sum(F.size("terms")).cast("long").alias("total")
@@ -95,19 +93,22 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
     n_docs, total = stats.n_docs or 0, stats.total or 0
     if total == 0:
         empty = spark.createDataFrame([], "row long, doc_id long, weights map<string,long>")
-        return {"rows": empty, "postings": spark.createDataFrame([], "term string, block string, row long"),
-                "blocks": spark.createDataFrame([], "term string, block string, top array<long>")}
-    tf = base.select("row", F.size("terms").cast("long").alias("n"), F.explode("terms").alias("term")).groupBy(
-        "row", "n", "term"
-    ).agg(F.count(F.lit(1)).alias("tf"))
+        return {"rows": empty, "postings": spark.createDataFrame([], "term string, block long, row long"),
+                "blocks": spark.createDataFrame([], "term string, block long, top array<long>")}
+    wanted = vocabulary.select("term").distinct()
+    # Only terms of the vocabulary are counted; n still counts all terms of the document.
+    tf = (
+        base.select("row", F.size("terms").cast("long").alias("n"), F.explode("terms").alias("term"))
+        .join(wanted, "term", "left_semi")
+        .groupBy("row", "n", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.floor(F.lit(1000.0) * F.log((F.lit(2.0 * n_docs + 2)) / (F.col("df") * 2 + 1).cast("double"))).cast("long")
     m = f"(50L + (50L * n * {n_docs}L) div {total}L)"
     contribution = F.expr(f"w * ((1000000000L * tf) div (1000L * tf + 20L * {m}))")
-    wanted = vocabulary.select("term").distinct()
     post = written(
-        tf.join(wanted, "term")
-        .join(df.join(wanted, "term").select("term", "df", weight.alias("w")), "term")
+        tf.join(df.select("term", "df", weight.alias("w")), "term")
         .select("row", "term", contribution.alias("s"), "df"),
         "lex-postings",
     )
@@ -117,14 +118,10 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
     )
     vectors = written(vectors.withColumn("sig", signature(F.col("vec"))), "lex-vectors")
     weights = post.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "s"))).alias("weights"))
-    rows = written(base.select("row", "doc_id").join(weights, "row", "left"), "lex-weights")
+    rows = written(base.select("row", "doc_id").join(weights, "row"), "lex-weights")
     depth = F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / F.lit(float(BLOCK)))).cast("int")))
     spread = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("df") / F.lit(float(BLOCK * (1 << BITS)))).cast("long"))
-    block = F.concat_ws(
-        ":",
-        F.expr(f"shiftright(sig, {BITS} - depth)").cast("string"),
-        F.pmod(F.xxhash64("row"), spread).cast("string"),
-    )
+    block = F.expr(f"shiftright(sig, {BITS} - depth)").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("row"), spread)
     postings = written(
         post.join(vectors.select("row", "sig"), "row").withColumn("depth", depth).select("term", block.alias("block"), "row"),
         "lex-blocks",
