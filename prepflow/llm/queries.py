@@ -207,6 +207,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_lm_score": op11_lm_score,
     "op12_vector_codes": op12_vector_codes,
     "op13_lexical_search": op13_lexical_search,
 }
