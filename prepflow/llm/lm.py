@@ -205,27 +205,22 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     ``train`` is a condition on the documents' columns that marks the training rows.
     """
     spark = docs.sparkSession
-    rows = written(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), tokens(F.col(text_col)).alias("toks")
-        ).withColumn("row", F.monotonically_increasing_id()),
-        "lm-rows",
-    )
+    # Row numbers of a scan are the same on every evaluation of it, so the token arrays are not written.
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), tokens(F.col(text_col)).alias("toks")
+    ).withColumn("row", F.monotonically_increasing_id())
     tok = rows.select("row", "train", F.posexplode("toks").alias("pos", "token"))
     counts = tok.filter("train").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     vocab = written(number_rows(counts, [("c", "desc"), "token"], "id", unique_order=True), "lm-vocab")
     totals = vocab.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     V, N = int(totals.v or 0), int(totals.n or 0)
     denominator = N + ADD * (V + 1)
-    coded = written(
-        tok.join(vocab, "token", "left").select(
-            "row",
-            "pos",
-            "train",
-            F.col("id").cast("long").alias("w"),
-            F.coalesce(F.col("c"), F.lit(0)).cast("long").alias("c"),
-        ),
-        "lm-coded",
+    coded = tok.join(vocab, "token", "left").select(
+        "row",
+        "pos",
+        "train",
+        F.col("id").cast("long").alias("w"),
+        F.coalesce(F.col("c"), F.lit(0)).cast("long").alias("c"),
     )
     previous = F.lag("w").over(Window.partitionBy("row").orderBy("pos"))
     pairs = written(
