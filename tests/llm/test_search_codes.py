@@ -225,3 +225,23 @@ def test_search_empty(spark):
     assert lexical.ranked(d, b).count() == 0
     d = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     assert lexical.ranked(d, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+
+
+def test_terms_in_bytes_equal_the_pattern():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(chr(rng.choice([rng.randrange(128), rng.randrange(128, 0x300), 0x1F600, 0x85, 0x3000])) for _ in range(40))
+        assert [t.decode() for t in lexical.split_terms(text)] == re.findall(lexical.TERM, text.translate(FOLD))
+    assert lexical.split_terms(None) == []
+
+
+def test_search_blocks_stay_small(spark):
+    """Folded vectors have no negative parts; a list of all documents must not end up in a few cells all the same."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, "the " + " ".join(rng.sample(words, 20))) for i in range(2000)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    index = lexical.build_index(d, spark.createDataFrame([(w,) for w in ["the", *words]], "term string"))
+    sizes = [r["count"] for r in index["postings"].groupBy("term", "block").count().collect()]
+    assert sum(sizes) == 2000 * 21
+    assert max(sizes) <= 250
