@@ -24,6 +24,10 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: draws the ids of samples.
 SAMPLE_SEED = 5
 
+#: 64-bit numbers in the largest filter that is broadcast (8 MB of bits), and the seed of its hash (a fixed value).
+MARK_WORDS = 1 << 20
+MARK_SEED = 17
+
 #: Fixed value: characters between words.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -65,6 +69,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def maybe_in(docs: DataFrame, ids: DataFrame, id_col: str, mark: str) -> DataFrame:
+    """Add a boolean column: false only for rows whose id is not in the one column of ``ids``.
+
+    A Bloom filter of one hash: ids set bits of at most ``MARK_WORDS`` 64-bit numbers, which are broadcast. It saves
+    moving the texts of rows that a join would leave out; the join itself stays with the caller. Null ids are false.
+    """
+    size = min(MARK_WORDS, max(1, -(-ids.count() // 4)))
+    spot = F.pmod(F.xxhash64(F.col(id_col).cast(ids.schema[0].dataType), F.lit(MARK_SEED)), F.lit(64 * size))
+    bits = written(
+        ids.select(F.col(ids.columns[0]).alias(id_col))
+        .filter(F.col(id_col).isNotNull())
+        .select(F.floor(spot / 64).alias("__word"), F.pmod(spot, F.lit(64)).cast("int").alias("__bit"))
+        .groupBy("__word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits")),
+        "marks",
+    )
+    marked = docs.withColumn("__word", F.floor(spot / 64)).withColumn("__bit", F.pmod(spot, F.lit(64)).cast("int"))
+    return (
+        marked.join(F.broadcast(bits), "__word", "left")
+        .withColumn(mark, F.coalesce(F.expr("shiftright(__bits, __bit) & 1L") == 1, F.lit(False)))
+        .select(*docs.columns, mark)
+    )
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[str | None], tuple]],

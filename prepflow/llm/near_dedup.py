@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepflow.llm.common import map_texts, written
+from prepflow.llm.common import map_texts, maybe_in, written
 from prepflow.llm.components import components
 from prepflow.llm.shingles import factors, shingle_set, signature
 
@@ -320,8 +320,11 @@ def near_links(
     trees = by_tree(nodes.select("node", "sig")).select("node", "tree", prefix(LEAST).alias("region"))
     shared = written(trees.groupBy("tree", "region").count().filter("count > 1").drop("count"), "shared-regions")
     near = written(trees.join(shared, ["tree", "region"]).select("node").distinct(), "near-nodes")
-    wanted = nodes.join(near, "node").select("node", "digest", F.col("id").alias("wanted_id"))
-    texts = docs.select(F.col(id_col).alias("wanted_id"), F.col(text_col).alias("text")).join(wanted, "wanted_id")
+    wanted = written(nodes.join(near, "node").select("node", "digest", F.col("id").alias("wanted_id")), "wanted")
+    texts = docs.select(F.col(id_col).alias("wanted_id"), F.col(text_col).alias("text"))
+    # Only texts that may be wanted are sent to the join.
+    texts = maybe_in(texts, wanted.select("wanted_id"), "wanted_id", "__maybe").filter("__maybe").drop("__maybe")
+    texts = texts.join(wanted, "wanted_id")
     made = map_texts(
         texts.withColumn("key", F.struct("node", "digest")),
         full_set(size),
@@ -378,7 +381,9 @@ def near_links(
     still = written(
         in_shards(own, open_nodes(percent), "tree int, region binary, block bigint, node bigint", region_rows), "open"
     )
-    asked = written(own.join(still, [*REGION, "node"], "left_semi"), "open-rows").join(sets, "node")
+    asked = written(own.join(still, [*REGION, "node"], "left_semi"), "open-rows")
+    some = maybe_in(sets, asked.select("node").distinct(), "node", "__maybe").filter("__maybe").drop("__maybe")
+    asked = asked.join(some, "node")
     rest = in_shards(asked, region_links(percent), "a bigint, b bigint", region_rows)
     return first.unionByName(written(rest, "more-links"))
 
@@ -386,5 +391,10 @@ def near_links(
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The kept rows of ``docs`` with all their columns. Ids are taken to be unique; rows with a null id stay."""
     groups = near_groups(docs, id_col, text_col, **options)
-    keep = written(groups.filter("kept").select(F.col("doc_id").alias("__keep")).distinct(), "keep")
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    gone = groups.groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("kept")).filter("not kept")
+    gone = written(gone.select("__gone"), "gone")
+    # Rows that surely stay are not moved; the others meet the ids that go.
+    marked = maybe_in(docs, gone, id_col, "__maybe")
+    stay = marked.filter("not __maybe").drop("__maybe")
+    asked = marked.filter("__maybe").drop("__maybe")
+    return stay.unionByName(asked.join(gone, F.col(id_col) == F.col("__gone"), "left_anti"))

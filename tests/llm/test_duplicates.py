@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prepflow.llm import decontaminate, exact_dedup, near_dedup, queries, suffix_dedup, suffixes
+from prepflow.llm.common import maybe_in
 from prepflow.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, name string, kept string, sha string"
@@ -325,3 +326,40 @@ def test_contamination(spark, broadcast):
     assert sorted(r.doc_id or -1 for r in clean.collect()) == [i for i, _, bad in want if not bad]
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_maybe_in_never_misses(spark, kind):
+    docs = spark.range(3000).select(F.col("id").cast(kind).alias("doc_id"), F.lit("t").alias("text"))
+    docs = docs.unionByName(docs.filter("doc_id = 5")).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast(kind)))
+    ids = spark.range(0, 3000, 30).select(F.col("id").cast(kind).alias("x"))
+    found = maybe_in(docs, ids.unionByName(ids).unionByName(ids.limit(1).select(F.lit(None).cast(kind).alias("x"))), "doc_id", "m")
+    assert found.columns == ["doc_id", "text", "m"]
+    rows = [(r.doc_id, r.m) for r in found.collect()]
+    assert len(rows) == 3002 and (None, False) in rows
+    assert all(m for i, m in rows if i is not None and int(i) % 30 == 0)
+    assert sum(m for _, m in rows) < 600
+    assert not any(r.m for r in maybe_in(docs, ids.limit(0), "doc_id", "m").collect())
+
+
+def test_near_copies_leave_without_moving_other_texts(spark, monkeypatch):
+    """The rows of drop_near are those whose id has a kept row; texts that surely stay meet no join by id."""
+    rng = random.Random(12)
+    texts = [(i, sentence(rng, 40)) for i in range(60)]
+    texts += [(100 + i, t + " end") for i, t in texts[:20]] + [(None, texts[0][1]), (None, None), (70, ""), (71, None), (3, texts[3][1])]
+    docs = docs_of(spark, texts)
+    kept = {r.doc_id for r in near_dedup.near_groups(docs).collect() if r.kept}
+    asked = []
+    real = near_dedup.maybe_in
+
+    def noted(rows, ids, id_col, mark):
+        out = real(rows, ids, id_col, mark)
+        asked.append(out.filter(mark).count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "maybe_in", noted)
+    got = near_dedup.drop_near(docs).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted((i or -1, t or "") for i, t in texts if i in kept)
+    assert 20 <= asked[-1] <= 40
+    # Of 85 texts, only those that share a region are sent to be made into sets.
+    assert 40 <= asked[0] <= 60
