@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
 
@@ -78,6 +79,32 @@ def test_lm_against_brute_force(spark, monkeypatch, shard_entries):
         assert abs(g.score - model) <= 2 * lm.STEP * n_tokens + 1e-9
 
 
+def shuffle_files(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    found = {}
+    for top in env.blockManager().diskBlockManager().localDirs():
+        for path in pathlib.Path(top.getPath()).rglob("shuffle_*.data"):
+            found[path] = path.stat().st_size
+    return found
+
+
+def test_lm_shuffles_less_than_a_row_a_token(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000, raising=False)
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(i, random_text(rng, 400, vocabulary)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before = shuffle_files(spark)
+    got = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") % 10 != 0).collect()}
+    moved = sum(size for path, size in shuffle_files(spark).items() if path not in before)
+    assert moved < 8 * 300 * 401
+    for doc_id, n_tokens, n_known, n, base, model in lm_brute(rows, lambda r: r[0] % 10 != 0):
+        g = got[doc_id]
+        assert (g.n_tokens, g.n_known, g.train_tokens) == (n_tokens, n_known, n)
+        assert g.base_score == pytest.approx(base, abs=1e-8)
+        assert abs(g.score - model) <= 2 * lm.STEP * n_tokens + 1e-9
+
+
 def test_lm_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     got = sorted(lm.score(docs, F.lit(False)).collect())
