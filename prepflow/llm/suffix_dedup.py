@@ -10,6 +10,9 @@ that share ``length`` bytes with another place are those whose permuted common p
 
 A core with more than ``PIECES`` different parts would overload a shard: its windows are counted one by one by
 128 bits of hash, which partial aggregation combines before anything meets.
+
+All windows of a piece hold its anchor's gram, so those to remove cover one run of bytes without a gap: a part and a
+piece need no list of windows, only where the first begins and the last ends.
 """
 
 from __future__ import annotations
@@ -246,7 +249,7 @@ PART = (
 
 
 def shard_spans(length: int, step: int):
-    """Parts of a shard -> (key, part, spans), spans seen from the part's first byte."""
+    """Parts of a shard -> (key, part, since, until), bounds seen from the part's first byte."""
 
     def one(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -255,14 +258,14 @@ def shard_spans(length: int, step: int):
         )
         data, bounds = flat(table.column("bytes"))
         flags = shard_windows(data, bounds[:-1], times, origin, start, skip, more, span, length, step)
-        edges = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, a = np.nonzero(edges == 1)
-        _, b = np.nonzero(edges == -1)
-        spans = np.stack([a - skip[row], b - 1 - skip[row] + length], 1).ravel()
-        used, counts = np.unique(row, return_counts=True)
-        lists = pa.ListArray.from_arrays(np.concatenate(([0], 2 * np.cumsum(counts))).astype(np.int32), pa.array(spans, pa.int64()))
+        used = np.flatnonzero(flags.any(axis=1))
+        first = flags[used].argmax(axis=1) - skip[used]
+        last = flags.shape[1] - 1 - flags[used, ::-1].argmax(axis=1) - skip[used]
         picked = table.take(pa.array(used))
-        return pa.table([picked.column("key"), picked.column("part"), lists], names=["key", "part", "spans"])
+        return pa.table(
+            [picked.column("key"), picked.column("part"), pa.array(first), pa.array(last + length)],
+            names=["key", "part", "since", "until"],
+        )
 
     return one
 
@@ -365,7 +368,7 @@ def window_rows(length: int):
 
 
 def window_spans(parts: DataFrame, length: int) -> DataFrame:
-    """(key, part, spans) of the parts of frequent cores, by counting windows."""
+    """(key, part, since, until) of the parts of frequent cores, by counting windows."""
     rows = written(
         parts.mapInArrow(
             window_rows(length), "key bigint, part bigint, times bigint, at bigint, h1 bigint, h2 bigint, where bigint"
@@ -382,12 +385,12 @@ def window_spans(parts: DataFrame, length: int) -> DataFrame:
     return (
         rows.join(often, ["h1", "h2"])
         .groupBy("key", "part")
-        .agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + length))).alias("spans"))
+        .agg(F.min("at").alias("since"), (F.max("at") + length).alias("until"))
     )
 
 
 def piece_spans(cut: DataFrame, length: int, gram: int, step: int, pieces: int, shard_bytes: int) -> DataFrame:
-    """(gram, piece, spans) of cut pieces, spans seen from the anchor."""
+    """(gram, piece, since, until) of cut pieces, bounds seen from the anchor."""
     rows = written(cut.mapInArrow(part_pieces(length, gram, step), PART), "part-rows")
     parts = written(
         rows.groupBy("key", "part").agg(
@@ -399,7 +402,7 @@ def piece_spans(cut: DataFrame, length: int, gram: int, step: int, pieces: int,
     per_key = written(parts.groupBy("key").agg(F.count("*").alias("different")), "cores")
     counted = parts.join(per_key, "key")
     own = counted.filter("different = 1 and times > 1").select(
-        "key", "part", F.array(F.lit(0).cast("bigint"), F.col("of.more") + length).alias("spans")
+        "key", "part", F.lit(0).cast("bigint").alias("since"), (F.col("of.more") + length).alias("until")
     )
     shared = written(
         counted.filter("different > 1")
@@ -413,15 +416,16 @@ def piece_spans(cut: DataFrame, length: int, gram: int, step: int, pieces: int,
     )
     shards = 1 + shared.count() * (length + step) // shard_bytes
     dealt = shared.filter(F.col("different") <= pieces).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    found = dealt.groupBy("shard").applyInArrow(shard_spans(length, step), "key bigint, part bigint, spans array<bigint>")
+    found = dealt.groupBy("shard").applyInArrow(shard_spans(length, step), "key bigint, part bigint, since bigint, until bigint")
     frequent = shared.filter(F.col("different") > pieces)
     if not frequent.isEmpty():
         found = found.unionByName(window_spans(frequent, length))
     found = written(own.unionByName(found), "part-spans")
+    seen = F.col("low") - F.col("offset")
     return (
         rows.join(found, ["key", "part"])
         .groupBy("gram", "piece")
-        .agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("low") - F.col("offset")))).alias("spans"))
+        .agg(F.min(F.col("since") + seen).alias("since"), F.max(F.col("until") + seen).alias("until"))
     )
 
 
@@ -429,7 +433,10 @@ def removed_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
     step: int = STEP, pieces: int = PIECES, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
-    """(doc_id, crc, spans): bounds of bytes to remove, by id and checksum of the text; spans may overlap."""
+    """(doc_id, crc, spans): bounds of the runs to remove, in order, by id and checksum of the text.
+
+    The last run may reach beyond the text.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     found = written(
@@ -468,13 +475,43 @@ def removed_spans(
     # Of rows that repeat an id and text, one gives the piece; its count tells of the others.
     cut = written(cut, "cut-pieces").dropDuplicates(["gram", "piece"])
     spans = written(piece_spans(cut, length, gram, step, pieces, shard_bytes), "piece-spans")
-    part = again.filter("not whole").join(spans, ["gram", "piece"]).select("doc_id", "crc", "place", "spans")
-    reach = F.array(F.lit(gram - length).cast("bigint"), F.lit(length).cast("bigint"))
-    whole = again.filter("whole").select("doc_id", "crc", "place", reach.alias("spans"))
-    placed = part.unionByName(whole).select(
-        "doc_id", "crc", F.transform("spans", lambda x: F.greatest(F.lit(0), x + F.col("place"))).alias("spans")
+    part = again.filter("not whole").join(spans, ["gram", "piece"]).select("doc_id", "crc", "place", "since", "until")
+    whole = again.filter("whole").select(
+        "doc_id", "crc", "place", F.lit(gram - length).cast("bigint").alias("since"), F.lit(length).cast("bigint").alias("until")
     )
-    return placed.groupBy("doc_id", "crc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return (
+        part.unionByName(whole)
+        .groupBy("doc_id", "crc")
+        .agg(
+            F.collect_list(
+                F.struct(
+                    F.greatest(F.lit(0), F.col("place") + F.col("since")).alias("since"),
+                    (F.col("place") + F.col("until")).alias("until"),
+                )
+            ).alias("spans")
+        )
+        .mapInArrow(merge_spans, f"doc_id {id_type}, crc bigint, spans array<bigint>")
+    )
+
+
+def merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of spans -> lists of the bounds of their sorted, disjoint runs; no list is empty."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("spans")
+        since, until = (lists.flatten().field(n).to_numpy() for n in ("since", "until"))
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        # Each row's places follow those of the row before, with a gap.
+        apart = int(until.max(initial=0)) + 1
+        order = np.argsort(row * apart + since, kind="stable")
+        row, since = row[order], since[order]
+        reach = np.maximum.accumulate(row * apart + until[order])
+        first = np.flatnonzero(np.concatenate(([True], (row * apart + since)[1:] > reach[:-1])))
+        ends = reach[np.append(first[1:], len(row)) - 1] - row[first] * apart
+        bounds = np.concatenate(([0], 2 * np.cumsum(np.bincount(row[first], minlength=len(lists))))).astype(np.int32)
+        runs = pa.ListArray.from_arrays(bounds, pa.array(np.stack([since[first], ends], 1).ravel(), pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("crc"), runs], ["doc_id", "crc", "spans"])
 
 
 def merged(spans: list[int] | None, n: int) -> list[tuple[int, int]]:

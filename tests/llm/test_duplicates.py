@@ -232,6 +232,21 @@ def test_remove_repeats(spark, monkeypatch, pieces, slice_, step):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out] == repeats_brute(texts, 60)
 
 
+@pytest.mark.parametrize("pieces", [2000, 1])
+def test_removed_spans_of_near_copies(spark, pieces):
+    """Copies that differ in a word each: one pair of bounds per run, not one per window or anchor."""
+    rng = random.Random(4)
+    words = sentence(rng, 120).split()
+    texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(5, 115, 3)] + [sentence(rng, 120), None, ""]
+    texts += [sentence(rng, 30) + " " + " ".join(words[20:50]) + " " + sentence(rng, 30) for _ in range(5)]
+    docs = docs_of(spark, enumerate(texts))
+    out = suffix_dedup.remove_repeats(docs, length=60, gram=12, pieces=pieces).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out] == repeats_brute(texts, 60)
+    runs = {r.doc_id: r.spans for r in suffix_dedup.removed_spans(docs, length=60, gram=12, pieces=pieces).collect()}
+    assert {i: len(s) // 2 for i, s in runs.items()} == {r.doc_id: r.n_spans for r in out if r.n_spans}
+    assert all(a < b for s in runs.values() for a, b in zip(s, s[1:]))
+
+
 def test_remove_repeats_of_repeated_rows(spark):
     """Rows with the same id and text are two places; ids may be null."""
     long, other = sentence(random.Random(1), 50), sentence(random.Random(2), 50)
