@@ -58,6 +58,11 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def text_key(id_col: str, text_col: str) -> Column:
+    """64 bits that name a row by its id and text."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared scratch folder and give a reader of it.
 

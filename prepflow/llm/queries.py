@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import codebooks, decontaminate, lexical, lm, exact_dedup, language, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity
+from prepflow.llm import codebooks, decontaminate, lexical, lm, exact_dedup, language, mixing, near_dedup, passages, pii, quality, secrets, suffix_dedup, toxicity
 from prepflow.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,7 +144,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+    docs = documents(spark, sf_dir)
+    removed = suffix_dedup.remove_repeats(docs).drop("kept")
+    shared = F.coalesce("n_shared_words", F.lit(0).cast("bigint")).alias("n_shared_words")
+    return removed.join(passages.shared_words(docs), "key", "left").drop("key").withColumn("n_shared_words", shared)
 
 
 def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -11,8 +12,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from prepflow.llm import decontaminate, exact_dedup, near_dedup, queries, suffix_dedup, suffixes
-from prepflow.llm.common import maybe_in
+from prepflow.llm import decontaminate, exact_dedup, near_dedup, passages, queries, suffix_dedup, suffixes
+from prepflow.llm.common import maybe_in, text_key
 from prepflow.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, name string, kept string, sha string"
@@ -257,6 +258,70 @@ def test_remove_repeats_of_repeated_rows(spark):
     assert suffix_dedup.remove_repeats(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def shared_words_brute(rows, least):
+    """Words of each row (id, text) in runs of ``least`` words that another row holds too."""
+    split = [[w for w in re.split(r"[\x20\x09-\x0D]+", low(t)) if w] for _, t in rows]
+    held = {}
+    for i, words in enumerate(split):
+        for k in range(len(words) - least + 1):
+            held.setdefault(tuple(words[k : k + least]), set()).add(i)
+    out = []
+    for words in split:
+        shared = set()
+        for k in range(len(words) - least + 1):
+            if len(held[tuple(words[k : k + least])]) > 1:
+                shared.update(range(k, k + least))
+        out.append(len(shared))
+    return out
+
+
+def found_words(spark, rows, **options):
+    """n_shared_words of each row (id, text), as the query joins it."""
+    docs = spark.createDataFrame([(n, i, t) for n, (i, t) in enumerate(rows)], "n bigint, doc_id bigint, text string")
+    found = passages.shared_words(docs, **options)
+    out = docs.withColumn("key", text_key("doc_id", "text")).join(found, "key", "left").orderBy("n").collect()
+    return [r.n_shared_words or 0 for r in out]
+
+
+def passage_rows():
+    rng = random.Random(12)
+    shared = [sentence(rng, n) for n in (7, 11, 12, 13, 20, 40)]
+    texts = [" ".join([sentence(rng, 25), rng.choice(shared), sentence(rng, 15)]) for _ in range(60)]
+    texts += [shared[4].upper().replace(" ", "\n\t"), shared[3], shared[1], sentence(rng, 90), None, "", " \n", "é " * 30, "É " * 30]
+    # Twice in one row only, near copies, and words that all are equal.
+    texts += [shared[5] + " x " + shared[5], " ".join([sentence(rng, 14)] * 2), "a " * 50, "b a " * 30, "a " * 12]
+    words = sentence(rng, 60).split()
+    texts += [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(5, 55, 3)]
+    rows = list(enumerate(texts))
+    # The same id on other texts, the same row again, and null ids.
+    return rows + [(3, sentence(rng, 30)), (3, sentence(rng, 30)), rows[63], (500, rows[2][1])] + [(None, sentence(rng, 30))] * 2
+
+
+@pytest.mark.parametrize("gram, chunk, pieces", [(4, 1 << 18, 2000), (12, 1, 2), (1, 300, 1)])
+def test_shared_words(spark, monkeypatch, gram, chunk, pieces):
+    """Also with texts handled alone, few grams to a shard, and every gram treated as frequent."""
+    monkeypatch.setattr(passages, "CHUNK", chunk)
+    monkeypatch.setattr(passages, "SHARD_PIECES", 20)
+    rows = passage_rows()
+    want = shared_words_brute(rows, 12)
+    assert len(set(want)) > 10
+    assert found_words(spark, rows, least=12, gram=gram, pieces=pieces) == want
+    assert found_words(spark, [], least=12, gram=gram, pieces=pieces) == []
+
+
+def test_short_passages_are_told(spark, tmp_path):
+    """Passages of over 50 words below 400 bytes: nothing to remove, but counted; of 50 words: not counted."""
+    rng = random.Random(3)
+    told, untold, long = sentence(rng, 51, 900), sentence(rng, 50, 900), sentence(rng, 120, 900)
+    assert len(told) < 400 < len(long)
+    texts = [f"{sentence(rng, 40)} {p} {sentence(rng, 40)}" for p in (told, told, untold, untold, long, long)]
+    texts += [sentence(rng, 200), None]
+    docs_of(spark, enumerate(texts)).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.QUERIES["op10_suffix_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.n_shared_words for r in out] == [51, 51, 0, 0, 120, 120, 0, 0]
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out] == repeats_brute(texts, 400)
+
+
 @pytest.mark.parametrize("alphabet", [1, 1024])
 def test_suffix_array(monkeypatch, alphabet):
     monkeypatch.setattr(suffixes, "SMALL_ALPHABET", alphabet)
